@@ -143,7 +143,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
     codec = _codec(docs, model, dropout, seed, variants)
     kept = docs.drop(out_col)
     schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
-    at, key = kept.columns.index(text_col), kept.columns.index(id_col)
+    names = [*kept.columns, out_col]
+    at, key = names.index(text_col), names.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec()
@@ -151,7 +152,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 ids = pa.array([None if t.as_py() is None else own.encode(t.as_py(), k.as_py()) for k, t in zip(part.column(key), part.column(at))], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*kept.columns, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=names)
 
     return kept.mapInArrow(run, schema)
 
@@ -160,7 +161,8 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mode
     """`rows` with `out_col`, the text that the ids spell."""
     codec = _codec(rows, model, 0.0, 0, 1)
     kept = rows.drop(out_col)
-    at = kept.columns.index(ids_col)
+    names = [*kept.columns, out_col]
+    at = names.index(ids_col)
     schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +171,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mode
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 texts = pa.array([None if x.as_py() is None else own.decode(x.as_py()) for x in part.column(at)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*kept.columns, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
 
     return kept.mapInArrow(run, schema)
 
