@@ -36,6 +36,7 @@ from .common import width
 WORD = 24
 #: Bytes handled at a time; a longer document is handled alone.
 PIECE = 6 << 20
+LOW = np.uint64((1 << 40) - 1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -111,7 +112,7 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byt
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.num, len(a)))], dtype="<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -128,10 +129,21 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 KINDS = {np.dtype(k).num: np.dtype(k) for k in ("u1", "<u2", "<u4", "<i8", "<u8")}
 
 
+def _planes(hashes: np.ndarray) -> np.ndarray:
+    """The low five bytes of hashes in ascending order, byte by byte; the bucket stands for the rest."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :5].T).ravel()
+
+
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(planes) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = planes.reshape(5, -1).T
+    return wide.view("<u8").ravel()
+
+
 def _by_bucket(hashes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Indexes of each bucket's hashes, in order of hash."""
+    """Indexes of each bucket's hashes, in order of their low bytes from the highest."""
     bucket = (hashes >> np.uint64(40)) % np.uint64(n)
-    order = np.lexsort((hashes, bucket))
+    order = np.lexsort((hashes & LOW, bucket))
     edges = np.searchsorted(bucket[order], np.arange(n + 1))
     for b in range(n):
         if edges[b] < edges[b + 1]:
@@ -155,9 +167,8 @@ def _send_hashes(length: int, n: int):
             out = []
             for b, at in _by_bucket(hashes, n):
                 h = hashes[at]
-                five = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5].T).ravel()
                 uniq, place = np.unique(own[at], return_inverse=True)
-                out.append((b, _pack(five, place.astype("<u2" if len(uniq) < 65536 else "<u4"), keys[uniq])))
+                out.append((b, _pack(_planes(h), place.astype("<u2" if len(uniq) < 65536 else "<u4"), keys[uniq])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "blob"])
 
@@ -173,10 +184,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sorted(held):
         hashes, docs = [], []
         for blob in held.pop(b):
-            five, place, keys = _unpack(blob)
-            wide = np.zeros((len(place), 8), dtype=np.uint8)
-            wide[:, :5] = five.reshape(5, -1).T
-            hashes.append(wide.view("<u8").ravel())
+            planes, place, keys = _unpack(blob)
+            hashes.append(_from_planes(planes))
             docs.append(keys[place])
         h, d = np.concatenate(hashes), np.concatenate(docs)
         order = np.lexsort((d, h))
@@ -206,8 +215,6 @@ def _wide(five: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-LOW = np.uint64((1 << 40) - 1)
-
 
 def _send_segments(length: int, n: int):
     """Segments of shared minimisers; bucket -1 carries repeats that are known at once."""
@@ -246,7 +253,9 @@ def _send_segments(length: int, n: int):
             h = hashes[keep[pick]]
             key, start, many = np.array([ids[x] for x in own[keep[pick]]], dtype="<i8"), first[keep[pick]], size[keep[pick]]
             for b, at in _by_bucket(h, n):
-                out.append((b, _pack(h[at], key[at], start[at].astype("<i8"), many[at].astype("<u2" if length <= 4096 else "<u4"), np.frombuffer(b"".join([sent_bytes[x] for x in at.tolist()]), np.uint8))))
+                uniq, place = np.unique(key[at], return_inverse=True)
+                wide = start[at].max() >= 2**32
+                out.append((b, _pack(_planes(h[at]), place.astype("<u2" if len(uniq) < 65536 else "<u4"), uniq, start[at].astype("<i8" if wide else "<u4"), many[at].astype("<u2" if length <= 4096 else "<u4"), np.frombuffer(b"".join([sent_bytes[x] for x in at.tolist()]), np.uint8))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "blob"])
 
     return run
@@ -289,23 +298,22 @@ def interval_groups(contents: list[bytes], length: int) -> Iterator[tuple[int, l
             stack.append((lcp[i], start))
 
 
-def _groups(length: int):
-    """Repeats (doc_id, spans) of the buckets in a partition, as packed (start, end) pairs."""
+def _groups(length: int, n: int):
+    """Repeats of the buckets in a partition, dealt by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if b < 0:
-                    rows = _unpack(blob)[0].reshape(-1, 3)
-                    yield _spans(rows[:, 0], rows[:, 1], rows[:, 2])
+                    yield _dealt(_unpack(blob)[0].reshape(-1, 3), n)
                 else:
                     held.setdefault(b, []).append(blob)
         for b in sorted(held):
             parts = [_unpack(x) for x in held.pop(b)]
-            h, key, start, many = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            text = np.concatenate([p[4] for p in parts]).tobytes()
-            many = many.astype(np.int64)
+            h, key = np.concatenate([_from_planes(p[0]) for p in parts]), np.concatenate([p[2][p[1]] for p in parts])
+            start, many = (np.concatenate([p[k].astype(np.int64) for p in parts]) for k in (3, 4))
+            text = np.concatenate([p[5] for p in parts]).tobytes()
             place = np.concatenate(([0], np.cumsum(many)[:-1]))
             order = np.argsort(h, kind="stable")
             edges = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1], [True])))
@@ -350,22 +358,36 @@ def _groups(length: int):
             if waiting:
                 scan()
             if found:
-                rows = np.array(found, dtype=np.int64)
-                yield _spans(rows[:, 0], rows[:, 1], rows[:, 2])
+                yield _dealt(np.array(found, dtype=np.int64), n)
 
     return run
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Spans by document, joined where they meet."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    ids, out = [], []
-    cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))
-    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        ids.append(int(doc[x]))
-        out.append(merged(start[x:y], end[x:y]).astype("<i8").tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "spans"])
+def _dealt(rows: np.ndarray, n: int) -> pa.RecordBatch:
+    """(doc, start, end) rows packed by a shard of the document, so that their number follows tasks and not documents."""
+    shard = ((rows[:, 0].astype(np.uint64) * M1) >> np.uint64(32)) % np.uint64(n)
+    order = np.lexsort((rows[:, 1], rows[:, 0], shard))
+    rows, shard = rows[order], shard[order]
+    cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))).tolist()
+    blobs = [_pack(*(np.ascontiguousarray(rows[x:y, k]) for k in range(3))) for x, y in zip(cuts[:-1], cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of the partition's shards: its spans, joined where they meet."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.setdefault(b, []).append(blob)
+    for b in sorted(held):
+        parts = [_unpack(x) for x in held.pop(b)]
+        doc, start, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((start, doc))
+        doc, start, end = doc[order], start[order], end[order]
+        cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))).tolist()
+        for at in range(0, len(cuts) - 1, 4096):
+            pairs = list(zip(cuts[at:], cuts[at + 1 :]))[:4096]
+            yield pa.RecordBatch.from_arrays([pa.array([int(doc[x]) for x, _ in pairs], pa.int64()), pa.array([merged(start[x:y], end[x:y]).astype("<i8").tobytes() for x, y in pairs], pa.binary())], ["doc_id", "spans"])
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -383,16 +405,17 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     hashes = texts.mapInArrow(_send_hashes(length, n), "bucket int, blob binary")
     answers = hashes.repartition(n, "bucket").mapInArrow(_answer, "doc_id bigint, shared binary")
     by_doc = answers.groupBy("doc_id").agg(F.collect_list("shared").alias("shared"))
-    asked = texts.join(by_doc, "doc_id").select("doc_id", "text", "shared")
+    asked = texts.join(by_doc, F.col("key") == F.col("doc_id")).select("key", "body", "shared")
     cut = asked.mapInArrow(_send_segments(length, n), "bucket int, blob binary")
     # what is known at once stays spread; the rest meets by bucket
     key = F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket").cast("bigint"))
-    return cut.repartition(n, key).mapInArrow(_groups(length), "doc_id bigint, spans binary")
+    dealt = cut.repartition(n, key).mapInArrow(_groups(length, n), "shard int, blob binary")
+    return dealt.repartition(n, "shard").mapInArrow(_gather, "doc_id bigint, spans binary")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The one exchange of whole texts with an id; all passes use it."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL").repartition(width(docs.sparkSession), "doc_id")
+    """The one exchange of whole texts with an id; all passes use it. New names, so that all passes plan it alike."""
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("body")).repartition(width(docs.sparkSession), "key")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,7 +424,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
 
 def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, digest: bool) -> DataFrame:
-    spans = repeats(docs, length, id_col, text_col).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    spans = repeats(docs, length, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,9 +433,7 @@ def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, digest: b
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 kept, pairs = raw, np.zeros((0, 2), dtype=np.int64)
                 if own.as_py():
-                    pairs = np.concatenate([np.frombuffer(s, "<i8").reshape(-1, 2) for s in own.as_py()])
-                    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                    pairs = np.minimum(merged(pairs[:, 0], pairs[:, 1]), len(raw))
+                    pairs = np.minimum(np.frombuffer(own.as_py(), "<i8").reshape(-1, 2), len(raw))
                     edges = np.concatenate(([0], pairs.ravel(), [len(raw)])).tolist()
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out.append((key.as_py(), len(raw), len(raw) - len(kept), len(pairs), hashlib.sha256(kept).hexdigest() if digest else kept))
@@ -420,8 +441,8 @@ def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, digest: b
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
 
     texts = _texts(docs, id_col, text_col)
-    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("array<binary>").alias("spans"))
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").unionAll(nameless)
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("spans"))
+    joined = texts.join(spans, F.col("key") == F.col("doc_id"), "left").select("key", "body", "spans").unionAll(nameless)
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, " + ("kept_sha256 string" if digest else "kept binary"))
 
 
