@@ -28,7 +28,7 @@ def test_origin_policy(spark):
 @pytest.mark.parametrize("at, fresh", [("2024-01-03T01:00:00Z", True), ("2024-01-02T00:00:00Z", False), (None, True), ("rubbish", True)])
 def test_snapshot_age(spark, at, fresh):
     df = spark.createDataFrame([(at,)], "at string")
-    assert df.select(X.fresh(F.col("at"), F.to_timestamp(F.lit("2024-01-11T00:00:00Z")))).first()[0] is fresh or at == "2024-01-02T00:00:00Z"
+    assert df.select(X.fresh(F.col("at"), F.to_timestamp(F.lit("2024-01-11T00:00:00Z")))).first()[0] is fresh
 
 
 def test_strip_and_session_key(spark):
@@ -53,6 +53,7 @@ def test_pattern_fold(spark):
 
 def test_streamed_session_state(spark, tmp_path):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 0, "system", "s")], "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # a processing-time timeout else asks for batches for ever
     turns.write.parquet(str(tmp_path / "in"))
     stream = sessions.session_state(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.format("memory").queryName("state").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
