@@ -7,7 +7,7 @@ of them serves best, its threshold and its scale are calibrated on training docu
 is the best cut for balanced error.
 
 Training uses labelled rows outside the held-out fold, at most about `per_class` of each class, chosen by a hash of the id:
-a bound on what the driver holds. Windows cover whole texts. Defined results: null and empty texts score as having no
+a bound on what the driver holds; of rows that repeat an id, the least text trains. Windows cover whole texts. Defined results: null and empty texts score as having no
 saving; without rows of both classes every score is 0; a document with several labels trains once for each; rows that repeat
 a doc_id are each returned; an empty table gives an empty result; other columns are ignored.
 """
@@ -98,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
     chosen = marked.where(F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(1_000_000)) < share * 1_000_000)
-    sample = rows.join(chosen, "_id").select("text", "label").dropDuplicates().collect()
+    # the chosen labels are bounded by per_class, so texts stay where they are read and only the chosen ones move
+    sample = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "label").agg(F.min("text").alias("text")).select("text", "label").distinct().collect()
     texts = {k: sorted(r["text"] for r in sample if r["label"] == k) for k in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
