@@ -2,7 +2,7 @@
 
 Encoding runs the merge agenda of a SentencePiece BPE model: symbols start as characters, adjacent pairs whose join is a
 piece wait in a priority queue, the best one (highest score, then leftmost) is merged next. With dropout, a merge taken
-from the agenda is skipped when a hash keyed by seed, document variant, unit and place falls below the dropout rate. The
+from the agenda is skipped when a hash keyed by seed, document variant, unit and span falls below the dropout rate. The
 same seed gives the same segmentation on every machine and in every retry; other seeds and documents give others. A rate
 of zero gives the model's own segmentation.
 
@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE = 400_000
+UNIT = re.compile(" *[^ ]+| +")
+#: Segmentations that a worker keeps, over all variants (some 300 MB at most), and the codecs of its last tasks.
+CACHE = 1_200_000
+_MADE: dict[tuple, "Codec"] = {}
 
 
 def default_model() -> str:
@@ -55,70 +58,69 @@ class Codec:
     def __init__(self, pieces: list[str], scores: list[float], dropout: float = 0.0, seed: int = 0, variants: int = 4):
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}
         special = set(self.byte_ids.values()) | {0, 1, 2}
-        self.ids = {p: i for i, p in enumerate(pieces) if i not in special}
-        self.scores = scores
+        # units are kept with plain spaces; the space mark of a text itself never reaches them
+        self.ids = {p.replace(MARK, " "): i for i, p in enumerate(pieces) if i not in special}
+        self.ranks = {p: -scores[i] for p, i in self.ids.items()}
         self.spelled = [b"" if i < 3 else p.replace(MARK, " ").encode("utf-8") for i, p in enumerate(pieces)]
         for byte, i in self.byte_ids.items():
             self.spelled[i] = bytes([byte])
         self.limit, self.seed, self.variants = int(dropout * 2**32), seed, variants
-        self.cache: dict[tuple[int, str], list[int]] = {}
+        self.cache: list[dict[str, list[int]]] = [{} for _ in range(variants)]
         self.mark_bytes = [self.byte_ids[b] for b in MARK.encode("utf-8")]
 
     def _unit(self, unit: str, variant: int) -> list[int]:
-        symbols: list[str | None] = list(unit)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, str]] = []
-        ids, scores = self.ids, self.scores
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right < n and (i := ids.get(joined := symbols[left] + symbols[right])) is not None:
-                heapq.heappush(agenda, (-scores[i], left, joined))
-
-        for at in range(n - 1):
-            offer(at)
+        n, rank, limit = len(unit), self.ranks.get, self.limit
+        # a symbol is the span from a start to stop[start]; start_of[end] is the start of the symbol that ends there
+        stop, start_of = list(range(1, n + 1)), list(range(-1, n))
+        agenda = [(r, k, k + 2) for k in range(n - 1) if (r := rank(unit[k : k + 2])) is not None]
+        heapq.heapify(agenda)
+        key = xxhash.xxh32_intdigest(f"{variant}/{unit}".encode("utf-8", "surrogatepass"), self.seed) if limit else 0
         while agenda:
-            _, left, joined = heapq.heappop(agenda)
-            if symbols[left] is None or (right := after[left]) >= n or symbols[left] + symbols[right] != joined:
+            _, left, end = heapq.heappop(agenda)
+            if not (middle := stop[left]) or middle >= n or stop[middle] != end:
                 continue
-            if self.limit and xxhash.xxh32_intdigest(f"{variant}/{unit}/{left}/{joined}".encode(), self.seed) < self.limit:
-                continue
-            symbols[left], symbols[right] = joined, None
-            after[left] = after[right]
-            if after[left] < n:
-                before[after[left]] = left
-            if before[left] >= 0:
-                offer(before[left])
-            offer(left)
+            if limit:
+                # Odd multipliers of an integer hash
+                x = ((key ^ (left * 0x85EBCA6B + end * 0xC2B2AE35)) * 0x9E3779B1) & 0xFFFFFFFF
+                if (((x ^ x >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF) < limit:
+                    continue
+            stop[left], stop[middle], start_of[end] = end, 0, left
+            if left and (r := rank(unit[(first := start_of[left]) : end])) is not None:
+                heapq.heappush(agenda, (r, first, end))
+            if end < n and (r := rank(unit[left : (last := stop[end])])) is not None:
+                heapq.heappush(agenda, (r, left, last))
         out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                if (i := ids.get(s)) is not None:
-                    out.append(i)
-                else:
-                    out.extend(self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass"))
+        at = 0
+        while at < n:
+            piece = unit[at : stop[at]]
+            if (i := self.ids.get(piece)) is not None:
+                out.append(i)
+            else:
+                out.extend(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
+            at = stop[at]
         return out
 
     def encode(self, text: str, doc: object = 0) -> list[int]:
         if not text:
             return []
         variant = xxhash.xxh32_intdigest(str(doc).encode(), self.seed) % self.variants if self.limit else 0
+        known = self.cache[variant]
         out: list[int] = []
-        cache = self.cache
         for k, part in enumerate(text.split(MARK)):
             if k:
                 out.extend(self.mark_bytes)
             # the model's own leading space goes before the text, and only there
-            for unit in UNIT.findall((MARK if not k else "") + part.replace(" ", MARK)):
-                found = cache.get((variant, unit))
-                if found is None:
-                    found = self._unit(unit, variant)
-                    if len(unit) <= 64:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[(variant, unit)] = found
-                out.extend(found)
+            units = UNIT.findall(part if k else " " + part)
+            fresh = set(units).difference(known)
+            if len(known) + len(fresh) > CACHE // self.variants:
+                known.clear()
+                fresh = set(units)
+            for unit in fresh:
+                known[unit] = self._unit(unit, variant)
+            out.extend(chain.from_iterable(map(known.__getitem__, units)))
+            for unit in fresh:
+                if len(unit) > 64:
+                    del known[unit]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -126,16 +128,20 @@ class Codec:
         return b"".join([spelled[i] for i in ids])[1:].decode("utf-8", "surrogatepass") if len(ids) else ""
 
 
-def _codec(docs: DataFrame, model: str | None, dropout: float, seed: int, variants: int):
-    shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model or default_model()))  # the vocabulary: fixed size
-    made: list[Codec] = []
+def _worker_codec(key: tuple, shared) -> Codec:
+    """The codec of this worker, kept from task to task so that what it has segmented is not lost."""
+    if key not in _MADE:
+        if len(_MADE) > 1:
+            _MADE.clear()
+        _MADE[key] = Codec(*shared.value, *key[1:])
+    return _MADE[key]
 
-    def codec() -> Codec:
-        if not made:
-            made.append(Codec(*shared.value, dropout, seed, variants))
-        return made[0]
 
-    return codec
+def _codec(docs: DataFrame, model: str | None, dropout: float, seed: int, variants: int):
+    pieces = load_pieces(model or default_model())
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary: fixed size
+    key = (xxhash.xxh64_hexdigest(repr(pieces)), dropout, seed, variants)
+    return lambda: _worker_codec(key, shared)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 4) -> DataFrame:
