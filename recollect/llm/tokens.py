@@ -7,7 +7,7 @@ same seed gives the same segmentation on every machine and in every retry; other
 of zero gives the model's own segmentation.
 
 No piece of such models goes on past a space inside it, so the agenda of a text falls apart into those of its units (spaces
-and the characters up to the next space) without changing the result. Units repeat, so results are kept per worker in a
+and the characters up to the next space, cut where two characters stand together in no piece) without changing the result. Units repeat, so results are kept per worker in a
 bounded cache; `variants` bounds the segmentations of one unit under one seed.
 
 Decoding joins the pieces' bytes, so it is lossless for every text: characters outside the vocabulary, and the space mark
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-UNIT = re.compile(" *[^ ]+| +")
 #: Segmentations that a worker keeps, over all variants (some 300 MB at most), and the codecs of its last tasks.
 CACHE = 1_200_000
+SPREAD = 64
 _MADE: dict[tuple, "Codec"] = {}
 
 
@@ -67,23 +67,42 @@ class Codec:
         self.limit, self.seed, self.variants = int(dropout * 2**32), seed, variants
         self.cache: list[dict[str, list[int]]] = [{} for _ in range(variants)]
         self.mark_bytes = [self.byte_ids[b] for b in MARK.encode("utf-8")]
+        # two characters that stand together in no piece are never merged, so a unit may be cut between them
+        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        joiners = "".join(sorted({c for pair in self.inner for c in pair} - {" "}))
+        self.units = re.compile(f" *[{re.escape(joiners)}]+| +|[^ ]" if joiners else " +|[^ ]", re.S).findall
+        self.spread = [[xxhash.xxh32_intdigest(f"{left}/{end}", seed) for end in range(SPREAD)] for left in range(SPREAD)]
+
+    def _segments(self, unit: str, variant: int) -> list[int]:
+        """A unit not seen before: its parts between the cuts, which other units may share."""
+        inner, known = self.inner, self.cache[variant]
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inner]
+        if not cuts:
+            return self._unit(unit, variant)
+        out: list[int] = []
+        for a, b in zip([0, *cuts], [*cuts, len(unit)]):
+            part = unit[a:b]
+            if (found := known.get(part)) is None:
+                found = self._unit(part, variant)
+                if len(part) <= 64:
+                    known[part] = found
+            out += found
+        return out
 
     def _unit(self, unit: str, variant: int) -> list[int]:
-        n, rank, limit = len(unit), self.ranks.get, self.limit
+        n, rank, limit, spread = len(unit), self.ranks.get, self.limit, self.spread
         # a symbol is the span from a start to stop[start]; start_of[end] is the start of the symbol that ends there
         stop, start_of = list(range(1, n + 1)), list(range(-1, n))
         agenda = [(r, k, k + 2) for k in range(n - 1) if (r := rank(unit[k : k + 2])) is not None]
         heapq.heapify(agenda)
-        key = xxhash.xxh32_intdigest(f"{variant}/{unit}".encode("utf-8", "surrogatepass"), self.seed) if limit else 0
+        key = xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed * self.variants + variant) & 0xFFFFFFFF) if limit and agenda else 0
         while agenda:
             _, left, end = heapq.heappop(agenda)
             if not (middle := stop[left]) or middle >= n or stop[middle] != end:
                 continue
-            if limit:
-                # Odd multipliers of an integer hash
-                x = ((key ^ (left * 0x85EBCA6B + end * 0xC2B2AE35)) * 0x9E3779B1) & 0xFFFFFFFF
-                if (((x ^ x >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF) < limit:
-                    continue
+            # a multiplicative hash of key and span; spans of units beyond the table are keyed by their place in it and the rest
+            if limit and ((key + left // SPREAD + end // SPREAD ^ spread[left % SPREAD][end % SPREAD]) * 0x9E3779B1) & 0xFFFFFFFF < limit:
+                continue
             stop[left], stop[middle], start_of[end] = end, 0, left
             if left and (r := rank(unit[(first := start_of[left]) : end])) is not None:
                 heapq.heappush(agenda, (r, first, end))
@@ -110,13 +129,13 @@ class Codec:
             if k:
                 out.extend(self.mark_bytes)
             # the model's own leading space goes before the text, and only there
-            units = UNIT.findall(part if k else " " + part)
+            units = self.units(part if k else " " + part)
             fresh = set(units).difference(known)
             if len(known) + len(fresh) > CACHE // self.variants:
                 known.clear()
                 fresh = set(units)
             for unit in fresh:
-                known[unit] = self._unit(unit, variant)
+                known[unit] = self._segments(unit, variant)
             out.extend(chain.from_iterable(map(known.__getitem__, units)))
             for unit in fresh:
                 if len(unit) > 64:
