@@ -33,10 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Segmentations that a worker keeps, over all variants (some 300 MB at most), and the codecs of its last tasks.
-CACHE = 1_200_000
+#: Segmentations that a task keeps, over all variants (some 150 MB at most); they end with the task, as idle workers hold memory.
+CACHE = 600_000
 SPREAD = 64
-_MADE: dict[tuple, "Codec"] = {}
 
 
 def default_model() -> str:
@@ -147,20 +146,16 @@ class Codec:
         return b"".join([spelled[i] for i in ids])[1:].decode("utf-8", "surrogatepass") if len(ids) else ""
 
 
-def _worker_codec(key: tuple, shared) -> Codec:
-    """The codec of this worker, kept from task to task so that what it has segmented is not lost."""
-    if key not in _MADE:
-        if len(_MADE) > 1:
-            _MADE.clear()
-        _MADE[key] = Codec(*shared.value, *key[1:])
-    return _MADE[key]
+def _codec(docs: DataFrame, model: str | None, dropout: float, seed: int, variants: int):
+    shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model or default_model()))  # the vocabulary: fixed size
+    made: list[Codec] = []
 
+    def codec() -> Codec:
+        if not made:
+            made.append(Codec(*shared.value, dropout, seed, variants))
+        return made[0]
 
-def _codec(docs: DataFrame, model: str | None, dropout: float, seed: int, variants: int):
-    pieces = load_pieces(model or default_model())
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary: fixed size
-    key = (xxhash.xxh64_hexdigest(repr(pieces)), dropout, seed, variants)
-    return lambda: _worker_codec(key, shared)
+    return codec
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 4) -> DataFrame:
