@@ -7,7 +7,7 @@ same seed gives the same segmentation on every machine and in every retry; other
 of zero gives the model's own segmentation.
 
 No piece of such models goes on past a space inside it, so the agenda of a text falls apart into those of its units (spaces
-and the characters up to the next space, cut where two characters stand together in no piece) without changing the result. Units repeat, so results are kept per worker in a
+and the characters up to the next space, cut at characters that join no other) without changing the result. Units repeat, so results are kept per worker in a
 bounded cache; `variants` bounds the segmentations of one unit under one seed.
 
 Decoding joins the pieces' bytes, so it is lossless for every text: characters outside the vocabulary, and the space mark
@@ -23,7 +23,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,11 @@ MARK = "▁"
 #: Segmentations that a task keeps, over all variants (some 150 MB at most); they end with the task, as idle workers hold memory.
 CACHE = 600_000
 SPREAD = 64
+#: Units of LONG characters or more, and of lengths that fewer than FEW units a character have, run their agendas one by one: the result is the same.
+LONG, FEW, TOGETHER = 40, 12, 1 << 16
+NEVER = np.int64(1 << 62)
+#: Characters of text whose new units are segmented together.
+GROUP = 2_000_000
 
 
 def default_model() -> str:
@@ -53,48 +57,84 @@ def load_pieces(model: str) -> tuple[list[str], list[float]]:
     return [processor.id_to_piece(i) for i in range(size)], [processor.get_score(i) for i in range(size)]
 
 
+def load_tables(pieces: list[str], scores: list[float]) -> dict[str, np.ndarray]:
+    """What the agenda reads of a vocabulary, as arrays, made once on the driver.
+
+    A symbol is a piece (its id) or a character that stands in pieces without being one (ids from the vocabulary's size
+    on); the id after those is any other character, which joins nothing. Pairs of symbols whose join is a piece are kept in
+    an open-addressing table.
+    """
+    size = len(pieces)
+    special = {i for i, p in enumerate(pieces) if i < 3 or re.fullmatch("<0x[0-9A-F]{2}>", p)}
+    # units are kept with plain spaces; the space mark of a text itself never reaches them
+    ids = {p.replace(MARK, " "): i for i, p in enumerate(pieces) if i not in special}
+    symbols = dict(ids)
+    for c in sorted({c for p in ids for c in p} - ids.keys()):
+        symbols[c] = size + len(symbols) - len(ids)
+    other = size + len(symbols) - len(ids)
+    of_char = np.full(0x110000, other, dtype=np.int32)
+    for s, i in symbols.items():
+        if len(s) == 1:
+            of_char[ord(s)] = i
+    pairs = {l << 32 | r: i for p, i in ids.items() for k in range(1, len(p)) if (l := symbols.get(p[:k])) is not None and (r := symbols.get(p[k:])) is not None}
+    keys, joins = np.array(list(pairs), dtype=np.int64), np.array(list(pairs.values()), dtype=np.int32)
+    bits = max(10, 2 + len(pairs).bit_length())
+    slots, values = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+    at = _slot(keys, bits)
+    while len(keys):
+        free = slots[at] < 0
+        slots[at[free]] = keys[free]
+        placed = slots[at] == keys
+        values[at[placed]] = joins[placed]
+        keys, joins, at = keys[~placed], joins[~placed], (at[~placed] + 1) & ((1 << bits) - 1)
+    # equal scores have equal ranks, so that the leftmost goes first
+    ranks = np.unique(-np.array(scores), return_inverse=True)[1].astype(np.int64)
+    return {"of_char": of_char, "slots": slots, "values": values, "ranks": ranks}
+
+
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Codec:
-    def __init__(self, pieces: list[str], scores: list[float], dropout: float = 0.0, seed: int = 0, variants: int = 4):
+    def __init__(self, pieces: list[str], scores: list[float], dropout: float = 0.0, seed: int = 0, variants: int = 4, tables: dict[str, np.ndarray] | None = None):
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}
         special = set(self.byte_ids.values()) | {0, 1, 2}
-        # units are kept with plain spaces; the space mark of a text itself never reaches them
         self.ids = {p.replace(MARK, " "): i for i, p in enumerate(pieces) if i not in special}
         self.ranks = {p: -scores[i] for p, i in self.ids.items()}
+        self.size, self.tables = len(pieces), load_tables(pieces, scores) if tables is None else tables
+        self.bits = len(self.tables["slots"]).bit_length() - 1
         self.spelled = [b"" if i < 3 else p.replace(MARK, " ").encode("utf-8") for i, p in enumerate(pieces)]
         for byte, i in self.byte_ids.items():
             self.spelled[i] = bytes([byte])
         self.limit, self.seed, self.variants = int(dropout * 2**32), seed, variants
-        self.cache: list[dict[str, list[int]]] = [{} for _ in range(variants)]
-        self.mark_bytes = [self.byte_ids[b] for b in MARK.encode("utf-8")]
-        # two characters that stand together in no piece are never merged, so a unit may be cut between them
-        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        joiners = "".join(sorted({c for pair in self.inner for c in pair} - {" "}))
+        self.cache: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.mark_bytes = np.array([self.byte_ids[b] for b in MARK.encode("utf-8")], dtype="<i4").tobytes()
+        joiners = "".join(sorted({c for p in self.ids if len(p) > 1 for c in p} - {" "}))
         self.units = re.compile(f" *[{re.escape(joiners)}]+| +|[^ ]" if joiners else " +|[^ ]", re.S).findall
         self.spread = [[xxhash.xxh32_intdigest(f"{left}/{end}", seed) for end in range(SPREAD)] for left in range(SPREAD)]
+        self.spread_table = np.array(self.spread, dtype=np.uint64)
+
+    def _key(self, unit: str, variant: int) -> int:
+        return xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed * self.variants + variant) & 0xFFFFFFFF) if self.limit else 0
 
-    def _segments(self, unit: str, variant: int) -> list[int]:
-        """A unit not seen before: its parts between the cuts, which other units may share."""
-        inner, known = self.inner, self.cache[variant]
-        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inner]
-        if not cuts:
-            return self._unit(unit, variant)
+    def _spell(self, unit: str, bounds: list[int]) -> bytes:
         out: list[int] = []
-        for a, b in zip([0, *cuts], [*cuts, len(unit)]):
-            part = unit[a:b]
-            if (found := known.get(part)) is None:
-                found = self._unit(part, variant)
-                if len(part) <= 64:
-                    known[part] = found
-            out += found
-        return out
+        for a, b in zip(bounds, bounds[1:]):
+            if (i := self.ids.get(unit[a:b])) is not None:
+                out.append(i)
+            else:
+                out.extend(self.byte_ids[x] for x in unit[a:b].encode("utf-8", "surrogatepass"))
+        return np.array(out, dtype="<i4").tobytes()
 
-    def _unit(self, unit: str, variant: int) -> list[int]:
+    def _unit(self, unit: str, variant: int) -> bytes:
+        """The agenda of one unit, as a heap: for long units and for those of rare lengths. Ids are kept as little-endian int32."""
         n, rank, limit, spread = len(unit), self.ranks.get, self.limit, self.spread
         # a symbol is the span from a start to stop[start]; start_of[end] is the start of the symbol that ends there
         stop, start_of = list(range(1, n + 1)), list(range(-1, n))
         agenda = [(r, k, k + 2) for k in range(n - 1) if (r := rank(unit[k : k + 2])) is not None]
         heapq.heapify(agenda)
-        key = xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed * self.variants + variant) & 0xFFFFFFFF) if limit and agenda else 0
+        key = self._key(unit, variant)
         while agenda:
             _, left, end = heapq.heappop(agenda)
             if not (middle := stop[left]) or middle >= n or stop[middle] != end:
@@ -107,52 +147,152 @@ class Codec:
                 heapq.heappush(agenda, (r, first, end))
             if end < n and (r := rank(unit[left : (last := stop[end])])) is not None:
                 heapq.heappush(agenda, (r, left, last))
-        out: list[int] = []
-        at = 0
-        while at < n:
-            piece = unit[at : stop[at]]
-            if (i := self.ids.get(piece)) is not None:
-                out.append(i)
-            else:
-                out.extend(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
-            at = stop[at]
+        bounds = [0]
+        while bounds[-1] < n:
+            bounds.append(stop[bounds[-1]])
+        return self._spell(unit, bounds)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make, or -1."""
+        slots, values = self.tables["slots"], self.tables["values"]
+        keys = left << 32 | right
+        at = _slot(keys, self.bits)
+        out, rest = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys))
+        while len(rest):
+            held = slots[at]
+            hit = held == keys
+            out[rest[hit]] = values[at[hit]]
+            more = ~hit & (held >= 0)
+            rest, keys, at = rest[more], keys[more], (at[more] + 1) & (len(slots) - 1)
         return out
 
-    def encode(self, text: str, doc: object = 0) -> list[int]:
-        if not text:
-            return []
-        variant = xxhash.xxh32_intdigest(str(doc).encode(), self.seed) % self.variants if self.limit else 0
-        known = self.cache[variant]
-        out: list[int] = []
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                out.extend(self.mark_bytes)
+    def _candidates(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Rank and start of the merges on the agenda; NEVER where there is none or the keyed hash skips it."""
+        joined = self._joined(left, right)
+        found = np.flatnonzero(joined >= 0)
+        out = np.full(len(joined), NEVER, dtype=np.int64)
+        if self.limit and len(found):
+            draw = ((keys[found] ^ self.spread_table[start[found], end[found]]) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
+            found = found[draw >= np.uint64(self.limit)]
+        out[found] = self.tables["ranks"][joined[found]] * SPREAD + start[found]
+        return out
+
+    def _together(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """The agendas of units of one length (under SPREAD), a merge of each at a time; a skip depends on the span alone, so it may be drawn when the span arises.
+
+        Columns are units. A merge takes one row off each, so units that go on stay of one length.
+        """
+        n, many = len(units[0]), len(units)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(many, n).T
+        symbol = self.tables["of_char"][points].astype(np.int64)
+        bound = np.repeat(np.arange(n + 1)[:, None], many, axis=1)
+        agenda = np.full((0, many), NEVER) if n < 2 else self._candidates(symbol[:-1].ravel(), symbol[1:].ravel(), bound[:-2].ravel(), bound[2:].ravel(), np.tile(keys, n - 1)).reshape(n - 1, many)
+        rows = np.arange(many)
+        out: list = [None] * many
+        while len(rows):
+            best = agenda.min(axis=0, initial=NEVER)
+            going = best < NEVER
+            if not going.all():
+                ended = ~going
+                last, edges, which = symbol[:, ended].T.astype("<i4", order="C"), bound[:, ended].T, rows[ended].tolist()
+                packed, step = last.tobytes(), 4 * last.shape[1]
+                for k, j in enumerate(which):
+                    out[j] = packed[k * step : (k + 1) * step]
+                for j in np.flatnonzero((last >= self.size).any(axis=1)).tolist():
+                    out[which[j]] = self._spell(units[which[j]], edges[j].tolist())
+                symbol, bound, agenda, rows, keys, best = symbol[:, going], bound[:, going], agenda[:, going], rows[going], keys[going], best[going]
+                if not len(rows):
+                    break
+            every = np.arange(len(rows))
+            after = np.logical_or.accumulate(agenda == best, axis=0)
+            at = len(after) - after.sum(axis=0)
+            joined = self._joined(symbol[at, every], symbol[at + 1, every])
+            symbol = np.where(after, symbol[1:], symbol[:-1])
+            symbol[at, every] = joined
+            bound = np.concatenate((bound[:1], np.where(after, bound[2:], bound[1:-1])))
+            agenda = np.where(after[:-1], agenda[1:], agenda[:-1])
+            for shift, j in ((-1, np.flatnonzero(at > 0)), (0, np.flatnonzero(at < len(agenda)))):
+                c = at[j] + shift
+                agenda[c, j] = self._candidates(symbol[c, j], symbol[c + 1, j], bound[c, j], bound[c + 2, j], keys[j])
+        return out
+
+    def _learn(self, fresh: list[set[str]]) -> None:
+        """Segment the units that each variant's cache lacks, those of one length together."""
+        by_length: dict[int, tuple[list[str], list[int]]] = {}
+        for variant, units in enumerate(fresh):
+            for unit in units:
+                found = by_length.get(len(unit)) or by_length.setdefault(len(unit), ([], []))
+                found[0].append(unit)
+                found[1].append(variant)
+        for n, (units, variants) in by_length.items():
+            if n >= LONG or len(units) < FEW * n:
+                for unit, variant in zip(units, variants):
+                    self.cache[variant][unit] = self._unit(unit, variant)
+                continue
+            for start in range(0, len(units), TOGETHER):
+                some, own = units[start : start + TOGETHER], variants[start : start + TOGETHER]
+                keys = np.fromiter(map(self._key, some, own), dtype=np.uint64, count=len(some))
+                for unit, variant, ids in zip(some, own, self._together(some, keys)):
+                    self.cache[variant][unit] = ids
+
+    def encode_many(self, texts: list[str | None], docs: list) -> list[np.ndarray | None]:
+        """The ids of each text; null for null."""
+        cut: list[tuple[int, list[list[str]]]] = []
+        wanted: list[set[str]] = [set() for _ in range(self.variants)]
+        for text, doc in zip(texts, docs):
+            variant = xxhash.xxh32_intdigest(str(doc).encode(), self.seed) % self.variants if self.limit else 0
             # the model's own leading space goes before the text, and only there
-            units = self.units(part if k else " " + part)
-            fresh = set(units).difference(known)
-            if len(known) + len(fresh) > CACHE // self.variants:
+            parts = [self.units(part if k else " " + part) for k, part in enumerate(text.split(MARK))] if text else []
+            wanted[variant].update(*parts)
+            cut.append((variant, parts))
+        fresh = []
+        for units, known in zip(wanted, self.cache):
+            new = units.difference(known)
+            if len(known) + len(new) > CACHE // self.variants:
                 known.clear()
-                fresh = set(units)
-            for unit in fresh:
-                known[unit] = self._segments(unit, variant)
-            out.extend(chain.from_iterable(map(known.__getitem__, units)))
-            for unit in fresh:
-                if len(unit) > 64:
+                new = units
+            fresh.append(new)
+        self._learn(fresh)
+        out: list[np.ndarray | None] = []
+        for text, (variant, parts) in zip(texts, cut):
+            known = self.cache[variant].__getitem__
+            packed = self.mark_bytes.join([b"".join(map(known, units)) for units in parts])
+            out.append(None if text is None else np.frombuffer(packed, dtype="<i4"))
+        for units, known in zip(fresh, self.cache):
+            for unit in units:
+                if len(unit) >= SPREAD:
                     del known[unit]
         return out
 
+    def encode(self, text: str, doc: object = 0) -> list[int]:
+        return self.encode_many([text or ""], [doc])[0].tolist()
+
     def decode(self, ids: list[int]) -> str:
         spelled = self.spelled
         return b"".join([spelled[i] for i in ids])[1:].decode("utf-8", "surrogatepass") if len(ids) else ""
 
 
+def _groups(batch: pa.RecordBatch, key: int, at: int) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """Slices of a batch of some GROUP characters, with their ids and texts."""
+    start, size, keys, texts = 0, 0, [], []
+    for k in range(batch.num_rows):
+        keys.append(batch.column(key)[k].as_py())
+        texts.append(batch.column(at)[k].as_py())
+        size += len(texts[-1] or "")
+        if size >= GROUP or k + 1 == batch.num_rows:
+            yield batch.slice(start, len(texts)), keys, texts
+            start, size, keys, texts = k + 1, 0, [], []
+
+
 def _codec(docs: DataFrame, model: str | None, dropout: float, seed: int, variants: int):
-    shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model or default_model()))  # the vocabulary: fixed size
+    pieces, scores = load_pieces(model or default_model())
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, scores, load_tables(pieces, scores)))  # the vocabulary: fixed size
     made: list[Codec] = []
 
     def codec() -> Codec:
         if not made:
-            made.append(Codec(*shared.value, dropout, seed, variants))
+            pieces, scores, tables = shared.value
+            made.append(Codec(pieces, scores, dropout, seed, variants, tables))
         return made[0]
 
     return codec
@@ -169,9 +309,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec()
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids = pa.array([None if t.as_py() is None else own.encode(t.as_py(), k.as_py()) for k, t in zip(part.column(key), part.column(at))], pa.list_(pa.int32()))
+            for part, keys, texts in _groups(batch, key, at):
+                ids = pa.array(own.encode_many(texts, keys), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=names)
 
     return kept.mapInArrow(run, schema)
@@ -204,15 +343,13 @@ def tokens_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own = codec()
         for batch in batches:
             rows = []
-            for key, value in zip(batch.column(0), batch.column(1)):
-                text = value.as_py()
-                if text is None:
-                    rows.append((key.as_py(), None, None, None, None, None))
-                    continue
-                ids = own.encode(text, key.as_py())
-                back = own.decode(ids)
-                small = np.array(ids, dtype="<i4")
-                rows.append((key.as_py(), len(ids), int(((small >= 3) & (small < 259)).sum()), hashlib.sha256(small.tobytes()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text))
+            for _, keys, texts in _groups(batch, 0, 1):
+                for key, text, ids in zip(keys, texts, own.encode_many(texts, keys)):
+                    if text is None:
+                        rows.append((key, None, None, None, None, None))
+                        continue
+                    back = own.decode(ids.tolist())
+                    rows.append((key, len(ids), int(((ids >= 3) & (ids < 259)).sum()), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text))
             names = ["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "round_trip"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=names)

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+
+import numpy as np
 import zlib
 
 import pytest
@@ -148,6 +150,21 @@ def test_tokens(spark, docs):
     assert back.where("NOT (decoded <=> text)").count() == 0
 
 
+def test_tokens_together_as_one_by_one():
+    model = tokens.load_pieces(tokens.default_model())
+    letters = "aeinrstéß日木 0_"
+    by_length = {n: ["".join(random.choice(letters) for _ in range(n)) for _ in range(60)] + ["international understandings"[:n]] for n in (1, 2, 3, 7, 20)}
+    for dropout in (0.0, 0.1, 0.6):
+        codec = tokens.Codec(*model, dropout, 5)
+        for units in by_length.values():
+            keys = np.array([codec._key(u, 1) for u in units], dtype=np.uint64)
+            assert codec._together(units, keys) == [codec._unit(u, 1) for u in units]
+        everything = [" ".join(u) for u in by_length.values()] * 40 + [None, ""]
+        many = codec.encode_many(everything, list(range(len(everything))))
+        fresh = tokens.Codec(*model, dropout, 5)
+        assert [None if m is None else m.tolist() for m in many] == [None if t is None else fresh.encode(t, k) for k, t in enumerate(everything)]
+
+
 def test_language(spark, none):
     en, de = "the and of that there with this from which when".split(), "der und die nicht ein über schön für auch ihr".split()
     rows = [(i, " ".join(random.choices(en if i % 2 else de, k=30)), "en" if i % 2 else "de") for i in range(200)] + [(900, None, "en"), (901, "12 34", None), (902, "", "de")]
