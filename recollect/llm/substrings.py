@@ -175,37 +175,63 @@ def _send_hashes(length: int, n: int):
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes of a bucket that two documents or more have, for each such document."""
+def _answer(n: int):
+    """The hashes of a bucket that two documents or more have, packed with their documents by a shard of the document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(b, []).append(blob)
+        for b in sorted(held):
+            hashes, docs = [], []
+            for blob in held.pop(b):
+                planes, place, keys = _unpack(blob)
+                hashes.append(_from_planes(planes))
+                docs.append(keys[place])
+            h, d = np.concatenate(hashes), np.concatenate(docs)
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            # shared: some neighbour of the same hash is of another document
+            same = h[1:] == h[:-1]
+            differ = same & (d[1:] != d[:-1])
+            group = np.concatenate(([0], np.cumsum(~same)))
+            mixed = np.zeros(group[-1] + 1, dtype=bool)
+            mixed[group[1:][differ]] = True
+            keep = mixed[group]
+            h, d = h[keep], d[keep]
+            if not len(h):
+                continue
+            shard = _shard(d, n)
+            # stable: hashes ascend within a shard, so that equal ones pack well
+            order = np.argsort(shard, kind="stable")
+            h, d, shard = h[order], d[order], shard[order]
+            cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))).tolist()
+            blobs = []
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                uniq, place = np.unique(d[x:y], return_inverse=True)
+                blobs.append(_pack(_planes(h[x:y]), place.astype("<u2" if len(uniq) < 65536 else "<u4"), uniq))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+    return run
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of the partition's shards: its shared hashes, five bytes each."""
     held: dict[int, list] = {}
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             held.setdefault(b, []).append(blob)
     for b in sorted(held):
-        hashes, docs = [], []
-        for blob in held.pop(b):
-            planes, place, keys = _unpack(blob)
-            hashes.append(_from_planes(planes))
-            docs.append(keys[place])
-        h, d = np.concatenate(hashes), np.concatenate(docs)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        # shared: some neighbour of the same hash is of another document
-        same = h[1:] == h[:-1]
-        differ = same & (d[1:] != d[:-1])
-        group = np.concatenate(([0], np.cumsum(~same)))
-        mixed = np.zeros(group[-1] + 1, dtype=bool)
-        mixed[group[1:][differ]] = True
-        keep = mixed[group]
-        h, d = h[keep], d[keep]
+        parts = [_unpack(x) for x in held.pop(b)]
+        d = np.concatenate([p[2][p[1]] for p in parts])
+        h = np.concatenate([p[0].reshape(5, -1).T for p in parts])
         order = np.argsort(d, kind="stable")
         h, d = h[order], d[order]
-        cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.zeros(0, dtype=int)
-        for at in range(0, len(cut), 4096):
-            part = cut[at : at + 4096]
-            ends = np.append(cut[at + 1 : at + 1 + len(part)], len(d))[: len(part)] if at + len(part) >= len(cut) else cut[at + 1 : at + 1 + len(part)]
-            small = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5])
-            yield pa.RecordBatch.from_arrays([pa.array(d[part]), pa.array([small[x:y].tobytes() for x, y in zip(part.tolist(), ends.tolist())], pa.binary())], ["doc_id", "shared"])
+        cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1], [True]))).tolist()
+        for at in range(0, len(cuts) - 1, 4096):
+            pairs = list(zip(cuts[at:], cuts[at + 1 :]))[:4096]
+            yield pa.RecordBatch.from_arrays([pa.array([int(d[x]) for x, _ in pairs], pa.int64()), pa.array([h[x:y].tobytes() for x, y in pairs], pa.binary())], ["doc_id", "shared"])
 
 
 def _wide(five: bytes) -> np.ndarray:
@@ -228,7 +254,7 @@ def _send_segments(length: int, n: int):
             for i, answers in enumerate(shared):
                 if ids[i] is None or not answers or cuts[i] == cuts[i + 1]:
                     continue
-                wanted = np.unique(np.concatenate([_wide(a) for a in answers]))
+                wanted = np.unique(_wide(answers))
                 mine = hashes[cuts[i] : cuts[i + 1]] & LOW
                 at = np.searchsorted(wanted, mine)
                 keep.append(cuts[i] + np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == mine))
@@ -363,9 +389,13 @@ def _groups(length: int, n: int):
     return run
 
 
+def _shard(docs: np.ndarray, n: int) -> np.ndarray:
+    return ((docs.astype(np.uint64) * M1) >> np.uint64(32)) % np.uint64(n)
+
+
 def _dealt(rows: np.ndarray, n: int) -> pa.RecordBatch:
     """(doc, start, end) rows packed by a shard of the document, so that their number follows tasks and not documents."""
-    shard = ((rows[:, 0].astype(np.uint64) * M1) >> np.uint64(32)) % np.uint64(n)
+    shard = _shard(rows[:, 0], n)
     order = np.lexsort((rows[:, 1], rows[:, 0], shard))
     rows, shard = rows[order], shard[order]
     cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))).tolist()
@@ -403,8 +433,8 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     n = width(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     hashes = texts.mapInArrow(_send_hashes(length, n), "bucket int, blob binary")
-    answers = hashes.repartition(n, "bucket").mapInArrow(_answer, "doc_id bigint, shared binary")
-    by_doc = answers.groupBy("doc_id").agg(F.collect_list("shared").alias("shared"))
+    answers = hashes.repartition(n, "bucket").mapInArrow(_answer(n), "shard int, blob binary")
+    by_doc = answers.repartition(n, "shard").mapInArrow(_by_document, "doc_id bigint, shared binary")
     asked = texts.join(by_doc, F.col("key") == F.col("doc_id")).select("key", "body", "shared")
     cut = asked.mapInArrow(_send_segments(length, n), "bucket int, blob binary")
     # what is known at once stays spread; the rest meets by bucket
