@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 Encoding runs the merge agenda of a SentencePiece BPE model: symbols start as characters, adjacent pairs whose join is a
-piece wait in a priority queue, the best one (highest score, then leftmost) is merged next. With dropout, a merge taken
-from the agenda is skipped when a hash keyed by seed, document variant, unit and span falls below the dropout rate. The
-same seed gives the same segmentation on every machine and in every retry; other seeds and documents give others. A rate
-of zero gives the model's own segmentation.
+piece wait in a priority queue, the best one (highest score, then leftmost) is merged next. With dropout, each merge taken
+from the agenda is skipped at the dropout rate, drawn anew for every occurrence of a unit: the draws are a hash keyed by
+seed, document id and the unit's place in the text. The same seed gives the same segmentation on every machine and in
+every retry; other seeds, documents and places give others. A rate of zero gives the model's own segmentation.
 
 No piece of such models goes on past a space inside it, so the agenda of a text falls apart into those of its units (spaces
-and the characters up to the next space, cut at characters that join no other) without changing the result. Units repeat, so results are kept per worker in a
-bounded cache; `variants` bounds the segmentations of one unit under one seed.
+and the characters up to the next space, cut at characters that join no other) without changing the result. Draws are made as
+gaps: the number of merges that go through before the next one skipped. A unit and its gaps so far fix the segmentation up to the next skip, so
+results are kept per task in a bounded cache by unit and gaps; the cache saves work and has no effect on what is drawn.
 
 Decoding joins the pieces' bytes, so it is lossless for every text: characters outside the vocabulary, and the space mark
 itself where a text contains it, are spelled in byte pieces.
@@ -32,9 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Segmentations that a task keeps, over all variants (some 150 MB at most); they end with the task, as idle workers hold memory.
-CACHE = 600_000
+#: Segmentations that a task keeps (some 150 MB at most), those after KEPT skips or fewer; they end with the task, as idle workers hold memory.
+CACHE, KEPT = 450_000, 2
 SPREAD = 64
+#: Gaps are drawn up to GAPS and then on; FAR is beyond any.
+GAPS, FAR = 256, 1 << 40
+GOLD = 0x9E3779B97F4A7C15
 #: Units of LONG characters or more, and of lengths that fewer than FEW units a character have, run their agendas one by one: the result is the same.
 LONG, FEW, TOGETHER = 40, 12, 1 << 16
 NEVER = np.int64(1 << 62)
@@ -93,11 +97,18 @@ def load_tables(pieces: list[str], scores: list[float]) -> dict[str, np.ndarray]
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((keys.view(np.uint64) * np.uint64(GOLD)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
 
 
 class Codec:
-    def __init__(self, pieces: list[str], scores: list[float], dropout: float = 0.0, seed: int = 0, variants: int = 4, tables: dict[str, np.ndarray] | None = None):
+    def __init__(self, pieces: list[str], scores: list[float], dropout: float = 0.0, seed: int = 0, tables: dict[str, np.ndarray] | None = None):
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}
         special = set(self.byte_ids.values()) | {0, 1, 2}
         self.ids = {p.replace(MARK, " "): i for i, p in enumerate(pieces) if i not in special}
@@ -107,16 +118,29 @@ class Codec:
         self.spelled = [b"" if i < 3 else p.replace(MARK, " ").encode("utf-8") for i, p in enumerate(pieces)]
         for byte, i in self.byte_ids.items():
             self.spelled[i] = bytes([byte])
-        self.limit, self.seed, self.variants = int(dropout * 2**32), seed, variants
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.limit, self.seed = int(dropout * 2**32), seed
+        # chances of a gap of k or more, as integers so that every machine draws the same
+        chances = [1 << 64]
+        for _ in range(GAPS):
+            chances.append(chances[-1] * (2**32 - self.limit) >> 32)
+        self.chances = np.array([min(c, 2**64 - 1) for c in chances[:0:-1]], dtype=np.uint64)
+        # pieces kept by unit, or unit, mark and gaps: the number of merges after the last skip, and ids as little-endian int32
+        self.cache: dict[str, tuple[int, bytes]] = {}
         self.mark_bytes = np.array([self.byte_ids[b] for b in MARK.encode("utf-8")], dtype="<i4").tobytes()
         joiners = "".join(sorted({c for p in self.ids if len(p) > 1 for c in p} - {" "}))
         self.units = re.compile(f" *[{re.escape(joiners)}]+| +|[^ ]" if joiners else " +|[^ ]", re.S).findall
-        self.spread = [[xxhash.xxh32_intdigest(f"{left}/{end}", seed) for end in range(SPREAD)] for left in range(SPREAD)]
-        self.spread_table = np.array(self.spread, dtype=np.uint64)
 
-    def _key(self, unit: str, variant: int) -> int:
-        return xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed * self.variants + variant) & 0xFFFFFFFF) if self.limit else 0
+    def _keys(self, doc: object, n: int) -> np.ndarray:
+        """Keys of the first `n` places of a document."""
+        return _mixed(np.uint64(xxhash.xxh64_intdigest(str(doc).encode("utf-8", "surrogatepass"), self.seed)) + np.arange(n, dtype=np.uint64) * np.uint64(GOLD))
+
+    def _key(self, doc: object, place: int) -> int:
+        return int(self._keys(doc, place + 1)[place]) if self.limit else 0
+
+    def _gaps(self, keys: np.ndarray, drawn: np.ndarray | int) -> np.ndarray:
+        """The gap that each key draws after `drawn` others; GAPS stands for that and more."""
+        draws = _mixed(keys + (np.atleast_1d(drawn).astype(np.uint64) + np.uint64(1)) * np.uint64(GOLD))
+        return GAPS - np.searchsorted(self.chances, draws, side="right")
 
     def _spell(self, unit: str, bounds: list[int]) -> bytes:
         out: list[int] = []
@@ -127,21 +151,30 @@ class Codec:
                 out.extend(self.byte_ids[x] for x in unit[a:b].encode("utf-8", "surrogatepass"))
         return np.array(out, dtype="<i4").tobytes()
 
-    def _unit(self, unit: str, variant: int) -> bytes:
-        """The agenda of one unit, as a heap: for long units and for those of rare lengths. Ids are kept as little-endian int32."""
-        n, rank, limit, spread = len(unit), self.ranks.get, self.limit, self.spread
+    def _unit(self, unit: str, place: int) -> bytes:
+        """A unit by itself, keyed as if it were the document."""
+        return self._agenda(unit, self._key(unit, place))[1]
+
+    def _agenda(self, unit: str, key: int, skips: int = FAR) -> tuple[int, bytes]:
+        """The agenda of one unit with the first `skips` skips of its key, as a heap: for long units and for those of rare lengths. Returns as `_agendas`."""
+        n, rank = len(unit), self.ranks.get
         # a symbol is the span from a start to stop[start]; start_of[end] is the start of the symbol that ends there
         stop, start_of = list(range(1, n + 1)), list(range(-1, n))
         agenda = [(r, k, k + 2) for k in range(n - 1) if (r := rank(unit[k : k + 2])) is not None]
         heapq.heapify(agenda)
-        key = self._key(unit, variant)
+        skips, drawn, taken, keys = skips if self.limit else 0, 0, 0, np.array([key], dtype=np.uint64)
+        gap = int(self._gaps(keys, 0)[0]) if skips else FAR
         while agenda:
             _, left, end = heapq.heappop(agenda)
             if not (middle := stop[left]) or middle >= n or stop[middle] != end:
                 continue
-            # a multiplicative hash of key and span; spans of units beyond the table are keyed by their place in it and the rest
-            if limit and ((key + left // SPREAD + end // SPREAD ^ spread[left % SPREAD][end % SPREAD]) * 0x9E3779B1) & 0xFFFFFFFF < limit:
+            skipped = False
+            while taken == gap and not skipped:
+                skipped, drawn, taken = gap < GAPS, drawn + 1, 0
+                gap = int(self._gaps(keys, drawn)[0]) if drawn < skips else FAR
+            if skipped:
                 continue
+            taken += 1
             stop[left], stop[middle], start_of[end] = end, 0, left
             if left and (r := rank(unit[(first := start_of[left]) : end])) is not None:
                 heapq.heappush(agenda, (r, first, end))
@@ -150,7 +183,7 @@ class Codec:
         bounds = [0]
         while bounds[-1] < n:
             bounds.append(stop[bounds[-1]])
-        return self._spell(unit, bounds)
+        return taken, self._spell(unit, bounds)
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
@@ -166,44 +199,58 @@ class Codec:
             rest, keys, at = rest[more], keys[more], (at[more] + 1) & (len(slots) - 1)
         return out
 
-    def _candidates(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Rank and start of the merges on the agenda; NEVER where there is none or the keyed hash skips it."""
+    def _candidates(self, left: np.ndarray, right: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Rank and start of the merges on the agenda; NEVER where there is none."""
         joined = self._joined(left, right)
         found = np.flatnonzero(joined >= 0)
         out = np.full(len(joined), NEVER, dtype=np.int64)
-        if self.limit and len(found):
-            draw = ((keys[found] ^ self.spread_table[start[found], end[found]]) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
-            found = found[draw >= np.uint64(self.limit)]
         out[found] = self.tables["ranks"][joined[found]] * SPREAD + start[found]
         return out
 
     def _together(self, units: list[str], keys: np.ndarray) -> list[bytes]:
-        """The agendas of units of one length (under SPREAD), a merge of each at a time; a skip depends on the span alone, so it may be drawn when the span arises.
+        return [ids for _, ids in self._agendas(units, keys)]
 
-        Columns are units. A merge takes one row off each, so units that go on stay of one length.
+    def _agendas(self, units: list[str], keys: np.ndarray, skips: int = FAR) -> list[tuple[int, bytes]]:
+        """The agendas of units of one length (under SPREAD), a merge of each at a time, with the first `skips` skips that their keys draw.
+
+        Columns are units. A merge takes one row off each, so units that go on stay of one length; a skip takes a merge off
+        the agenda and the next best is tried. Returns the merges after the last skip, and the ids as little-endian int32.
         """
         n, many = len(units[0]), len(units)
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(many, n).T
         symbol = self.tables["of_char"][points].astype(np.int64)
         bound = np.repeat(np.arange(n + 1)[:, None], many, axis=1)
-        agenda = np.full((0, many), NEVER) if n < 2 else self._candidates(symbol[:-1].ravel(), symbol[1:].ravel(), bound[:-2].ravel(), bound[2:].ravel(), np.tile(keys, n - 1)).reshape(n - 1, many)
+        agenda = np.full((0, many), NEVER) if n < 2 else self._candidates(symbol[:-1].ravel(), symbol[1:].ravel(), bound[:-2].ravel()).reshape(n - 1, many)
         rows = np.arange(many)
+        skips = skips if self.limit else 0
+        taken, drawn = np.zeros(many, dtype=np.int64), np.zeros(many, dtype=np.int64)
+        gap = self._gaps(keys, 0) if skips else np.full(many, FAR)
         out: list = [None] * many
         while len(rows):
             best = agenda.min(axis=0, initial=NEVER)
+            due = np.flatnonzero((taken == gap) & (best < NEVER)) if skips else rows[:0]
+            while len(due):
+                agenda[(agenda[:, due] == best[due]).argmax(axis=0), due] = NEVER
+                best[due] = agenda[:, due].min(axis=0)
+                taken[due] = 0
+                drawn[due] += 1
+                gap[due] = np.where(drawn[due] < skips, self._gaps(keys[due], drawn[due]), FAR)
+                due = due[(gap[due] == 0) & (best[due] < NEVER)]
             going = best < NEVER
             if not going.all():
                 ended = ~going
-                last, edges, which = symbol[:, ended].T.astype("<i4", order="C"), bound[:, ended].T, rows[ended].tolist()
+                last, edges, which, since = symbol[:, ended].T.astype("<i4", order="C"), bound[:, ended].T, rows[ended].tolist(), taken[ended].tolist()
                 packed, step = last.tobytes(), 4 * last.shape[1]
                 for k, j in enumerate(which):
-                    out[j] = packed[k * step : (k + 1) * step]
+                    out[j] = (since[k], packed[k * step : (k + 1) * step])
                 for j in np.flatnonzero((last >= self.size).any(axis=1)).tolist():
-                    out[which[j]] = self._spell(units[which[j]], edges[j].tolist())
+                    out[which[j]] = (since[j], self._spell(units[which[j]], edges[j].tolist()))
                 symbol, bound, agenda, rows, keys, best = symbol[:, going], bound[:, going], agenda[:, going], rows[going], keys[going], best[going]
+                taken, drawn, gap = taken[going], drawn[going], gap[going]
                 if not len(rows):
                     break
             every = np.arange(len(rows))
+            taken += 1
             after = np.logical_or.accumulate(agenda == best, axis=0)
             at = len(after) - after.sum(axis=0)
             joined = self._joined(symbol[at, every], symbol[at + 1, every])
@@ -213,56 +260,88 @@ class Codec:
             agenda = np.where(after[:-1], agenda[1:], agenda[:-1])
             for shift, j in ((-1, np.flatnonzero(at > 0)), (0, np.flatnonzero(at < len(agenda)))):
                 c = at[j] + shift
-                agenda[c, j] = self._candidates(symbol[c, j], symbol[c + 1, j], bound[c, j], bound[c + 2, j], keys[j])
+                agenda[c, j] = self._candidates(symbol[c, j], symbol[c + 1, j], bound[c, j])
         return out
 
-    def _learn(self, fresh: list[set[str]]) -> None:
-        """Segment the units that each variant's cache lacks, those of one length together."""
-        by_length: dict[int, tuple[list[str], list[int]]] = {}
-        for variant, units in enumerate(fresh):
-            for unit in units:
-                found = by_length.get(len(unit)) or by_length.setdefault(len(unit), ([], []))
-                found[0].append(unit)
-                found[1].append(variant)
-        for n, (units, variants) in by_length.items():
-            if n >= LONG or len(units) < FEW * n:
-                for unit, variant in zip(units, variants):
-                    self.cache[variant][unit] = self._unit(unit, variant)
+    def _segmented(self, units: list[str], keys: np.ndarray, skips: int) -> list[tuple[int, bytes]]:
+        """As `_agendas` for units of any lengths, those of one length together."""
+        by_length: dict[int, list[int]] = {}
+        for j, unit in enumerate(units):
+            by_length.setdefault(len(unit), []).append(j)
+        out: list = [None] * len(units)
+        for n, own in by_length.items():
+            if n >= LONG or len(own) < FEW * n:
+                for j in own:
+                    out[j] = self._agenda(units[j], int(keys[j]), skips)
                 continue
-            for start in range(0, len(units), TOGETHER):
-                some, own = units[start : start + TOGETHER], variants[start : start + TOGETHER]
-                keys = np.fromiter(map(self._key, some, own), dtype=np.uint64, count=len(some))
-                for unit, variant, ids in zip(some, own, self._together(some, keys)):
-                    self.cache[variant][unit] = ids
+            for start in range(0, len(own), TOGETHER):
+                some = own[start : start + TOGETHER]
+                for j, found in zip(some, self._agendas([units[j] for j in some], keys[some], skips)):
+                    out[j] = found
+        return out
+
+    def _learn(self, names: dict[str, int], units: list[str], keys: np.ndarray, skips: int) -> None:
+        """Put what the cache lacks under `names` there; each is met at a place, with a unit and a key."""
+        places = list(names.values())
+        for name, found in zip(names, self._segmented([units[i] for i in places], keys[places], skips)):
+            self.cache[name] = found
+
+    def _pieces(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """The ids of each unit, with the skips that its key draws."""
+        known = self.cache
+        if len(known) > CACHE:
+            known.clear()
+        passing: list[str] = []
+        fresh = {unit: i for i, unit in enumerate(units) if unit not in known}
+        # a long unit has too many gaps to be met again with the same ones: every occurrence runs its own agenda
+        long = {unit for unit in fresh if len(unit) >= LONG} if self.limit else set()
+        passing += [unit for unit in fresh if len(unit) >= LONG]
+        self._learn({unit: i for unit, i in fresh.items() if unit not in long}, units, keys, 0)
+        known.update(dict.fromkeys(long, (FAR, b"")))
+        found = [known[unit] for unit in units]
+        out = [ids for _, ids in found]
+        if self.limit:
+            gaps = self._gaps(keys, 0)
+            open_ = np.flatnonzero(gaps < np.fromiter((n for n, _ in found), dtype=np.int64, count=len(found)))
+            if long:
+                own = [i for i in open_.tolist() if units[i] in long]
+                for i, (_, ids) in zip(own, self._segmented([units[i] for i in own], keys[own], FAR)):
+                    out[i] = ids
+                open_ = np.setdiff1d(open_, own)
+            names, skips = [units[i] + MARK for i in open_.tolist()], 0
+            while len(open_):
+                skips += 1
+                names = [name + chr(gap) for name, gap in zip(names, gaps[open_].tolist())]
+                fresh = {name: i for name, i in zip(names, open_.tolist()) if name not in known}
+                self._learn(fresh, units, keys, skips)
+                if skips > KEPT:
+                    passing += fresh
+                found = [known[name] for name in names]
+                for i, (_, ids) in zip(open_.tolist(), found):
+                    out[i] = ids
+                gaps[open_] = self._gaps(keys[open_], skips)
+                more = gaps[open_] < np.fromiter((n for n, _ in found), dtype=np.int64, count=len(found))
+                open_, names = open_[more], [name for name, m in zip(names, more.tolist()) if m]
+        for name in passing:
+            del known[name]
+        return out
 
     def encode_many(self, texts: list[str | None], docs: list) -> list[np.ndarray | None]:
         """The ids of each text; null for null."""
-        cut: list[tuple[int, list[list[str]]]] = []
-        wanted: list[set[str]] = [set() for _ in range(self.variants)]
+        units: list[str] = []
+        keys: list[np.ndarray] = []
+        cut: list[list[int]] = []
         for text, doc in zip(texts, docs):
-            variant = xxhash.xxh32_intdigest(str(doc).encode(), self.seed) % self.variants if self.limit else 0
             # the model's own leading space goes before the text, and only there
-            parts = [self.units(part if k else " " + part) for k, part in enumerate(text.split(MARK))] if text else []
-            wanted[variant].update(*parts)
-            cut.append((variant, parts))
-        fresh = []
-        for units, known in zip(wanted, self.cache):
-            new = units.difference(known)
-            if len(known) + len(new) > CACHE // self.variants:
-                known.clear()
-                new = units
-            fresh.append(new)
-        self._learn(fresh)
-        out: list[np.ndarray | None] = []
-        for text, (variant, parts) in zip(texts, cut):
-            known = self.cache[variant].__getitem__
-            packed = self.mark_bytes.join([b"".join(map(known, units)) for units in parts])
-            out.append(None if text is None else np.frombuffer(packed, dtype="<i4"))
-        for units, known in zip(fresh, self.cache):
-            for unit in units:
-                if len(unit) >= SPREAD:
-                    del known[unit]
-        return out
+            edges = [len(units)]
+            for k, part in enumerate(text.split(MARK) if text else []):
+                units += self.units(part if k else " " + part)
+                edges.append(len(units))
+            cut.append(edges)
+            keys.append(self._keys(doc, edges[-1] - edges[0]) if self.limit else np.zeros(edges[-1] - edges[0], dtype=np.uint64))
+        pieces = self._pieces(units, np.concatenate(keys)) if units else []
+        packed = (self.mark_bytes.join([b"".join(pieces[a:b]) for a, b in zip(edges, edges[1:])]) for edges in cut)
+        return [None if text is None else np.frombuffer(ids, dtype="<i4") for text, ids in zip(texts, packed)]
 
     def encode(self, text: str, doc: object = 0) -> list[int]:
         return self.encode_many([text or ""], [doc])[0].tolist()
@@ -284,7 +363,7 @@ def _groups(batch: pa.RecordBatch, key: int, at: int) -> Iterator[tuple[pa.Recor
             start, size, keys, texts = k + 1, 0, [], []
 
 
-def _codec(docs: DataFrame, model: str | None, dropout: float, seed: int, variants: int):
+def _codec(docs: DataFrame, model: str | None, dropout: float, seed: int):
     pieces, scores = load_pieces(model or default_model())
     shared = docs.sparkSession.sparkContext.broadcast((pieces, scores, load_tables(pieces, scores)))  # the vocabulary: fixed size
     made: list[Codec] = []
@@ -292,15 +371,15 @@ def _codec(docs: DataFrame, model: str | None, dropout: float, seed: int, varian
     def codec() -> Codec:
         if not made:
             pieces, scores, tables = shared.value
-            made.append(Codec(pieces, scores, dropout, seed, variants, tables))
+            made.append(Codec(pieces, scores, dropout, seed, tables))
         return made[0]
 
     return codec
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", model: str | None = None, dropout: float = 0.1, seed: int = 17) -> DataFrame:
     """`docs` with `out_col`, the ids of the text's pieces (array<int>). A column of that name is replaced."""
-    codec = _codec(docs, model, dropout, seed, variants)
+    codec = _codec(docs, model, dropout, seed)
     kept = docs.drop(out_col)
     schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     names = [*kept.columns, out_col]
@@ -318,7 +397,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
 
 def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str | None = None) -> DataFrame:
     """`rows` with `out_col`, the text that the ids spell."""
-    codec = _codec(rows, model, 0.0, 0, 1)
+    codec = _codec(rows, model, 0.0, 0)
     kept = rows.drop(out_col)
     names = [*kept.columns, out_col]
     at = names.index(ids_col)
@@ -335,9 +414,9 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mode
     return kept.mapInArrow(run, schema)
 
 
-def tokens_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 4) -> DataFrame:
+def tokens_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 17) -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, ids_sha256 (ids as little-endian int32), decoded_sha256, round_trip: encoded and decoded in one pass."""
-    codec = _codec(docs, model, dropout, seed, variants)
+    codec = _codec(docs, model, dropout, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec()

@@ -165,6 +165,22 @@ def test_tokens_together_as_one_by_one():
         assert [None if m is None else m.tolist() for m in many] == [None if t is None else fresh.encode(t, k) for k, t in enumerate(everything)]
 
 
+def test_tokens_vary_by_occurrence():
+    model = tokens.load_pieces(tokens.default_model())
+    codec, word = tokens.Codec(*model, 0.1, 5), "understandings"
+    ids = codec.encode(" ".join([word] * 3000), 1)
+    starts = [i for i, p in enumerate(ids) if codec.spelled[p].startswith(b" ")] + [len(ids)]
+    assert len({tuple(ids[a:b]) for a, b in zip(starts, starts[1:])}) > 10
+    assert len({tuple(codec.encode(word, doc)) for doc in range(300)}) > 10
+    assert abs((codec._gaps(codec._keys(3, 100_000), 0) == 0).mean() - 0.1) < 0.01
+    # what the cache holds has no effect on what is drawn
+    for dropout in (0.1, 0.6):
+        codec, units = tokens.Codec(*model, dropout, 5), [" " + word, " the", " ", "é", " a"] * 60 + [" " + word * 5] * 2
+        keys = codec._keys(7, len(units))
+        want = [codec._agenda(u, int(k))[1] for u, k in zip(units, keys)]
+        assert codec._pieces(units, keys) == want == codec._pieces(units, keys)
+
+
 def test_language(spark, none):
     en, de = "the and of that there with this from which when".split(), "der und die nicht ein über schön für auch ihr".split()
     rows = [(i, " ".join(random.choices(en if i % 2 else de, k=30)), "en" if i % 2 else "de") for i in range(200)] + [(900, None, "en"), (901, "12 34", None), (902, "", "de")]
