@@ -1,11 +1,13 @@
 """Licence scan (DataFrame operations only).
 
-Each line of a file that speaks of licences (headers and licence files alike) is a sparse TF-IDF vector, compared by cosine
-with notice templates; the best line at or above `threshold` gives the file's own licence. Inverse document frequencies of
-the templates' words count all files. A file without a licence of its own takes that of the nearest ancestor directory that
+Each passage of a file that speaks of licences is a sparse TF-IDF vector, compared by cosine with notice templates; the best
+passage at or above `threshold` gives the file's own licence. Passages are lines, windows of up to `WRAPPED` lines around
+them (headers wrapped over lines), paragraphs, and licence files as a whole. Inverse document frequencies of all words
+count all files, cut into words in the same way. A file without a licence of its own takes that of the nearest ancestor directory that
 has a licence file (LICENSE, LICENCE, COPYING, NOTICE and names that begin so), by joining directories' ancestor paths.
 
-Bounds: only the templates' vocabulary (some hundred words, fixed here) and their weights are broadcast. Directories, not
+Bounds: only the templates' vocabulary (some hundred words, fixed here) and their weights are sure to be broadcast; the
+frequencies of passages' words are joined as the planner sees fit. Directories, not
 files, are joined with ancestors; files are dealt over `salts` when they take the result, so one directory may hold a third
 of all files.
 
@@ -35,22 +37,41 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC0-1.0": ("Released into the public domain under CC0 1.0.",),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
+    "ISC": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "LGPL-2.1": ("This library is licensed under the GNU Lesser General Public License, version 2.1.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 TRIGGER = r"(?i)licen[sc]|copyright|spdx|redistribut|public domain|permission is hereby"
-NOT_TERM = r"[^a-z0-9.]+"
+#: What lies between words, with the full stops at their ends.
+NOT_TERM = r"(?<!\.)\.*+(?:[^a-z0-9.]++\.*+)++|^\.++|(?<!\.)\.++$"
+#: Between paragraphs: lines without a letter or digit.
+BLANK = r"\n(?:[^A-Za-z0-9\n]*+\n)++"
+WRAPPED = 4
 LICENSE_FILE = r"(?i)(?:^|/)(?:LICEN[CS]E|COPYING|NOTICE)[^/]*$"
 TEMPLATE_ROWS = [(name, text) for name, texts in TEMPLATES.items() for text in texts]
 
 
 def _terms(text: str) -> list[str]:
-    return [t for w in re.split(NOT_TERM, text.lower()) if (t := w.strip("."))]
+    return [w for w in re.split(NOT_TERM, text.lower()) if w]
 
 
 VOCABULARY = sorted({t for _, text in TEMPLATE_ROWS for t in _terms(text)})
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(text), NOT_TERM), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), NOT_TERM), lambda w: w != "")
+
+
+def _passages(path: Column, text: Column) -> Column:
+    lines = F.split(text, "\n")
+    at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(TRIGGER))
+    spans = [(back, n) for n in range(1, WRAPPED + 1) for back in range(n)]
+    window = lambda i, back, n: F.when((i >= back) & (i - back + n <= F.size(lines)), F.array_join(F.slice(lines, F.greatest(i - back, F.lit(0)) + 1, n), " "))
+    windows = F.flatten(F.transform(at, lambda i: F.array(*(window(i, back, n) for back, n in spans))))
+    blocks = F.filter(F.split(text, BLANK), lambda b: b.rlike(TRIGGER))
+    whole = F.when(F.coalesce(path, F.lit("")).rlike(LICENSE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.array_distinct(F.concat(windows, blocks, whole)), lambda x: x.isNotNull())
 
 
 def _template_counts(spark) -> DataFrame:
@@ -64,9 +85,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     """One row per row of `files`: path, own_license, own_score, license, license_from (the file itself or its licence file)."""
     spark = files.sparkSession
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    vocabulary = F.array(*map(F.lit, VOCABULARY))
-    # a plain space-delimited split meets most words; lines with triggers are tokenised with care below
-    met = rows.select(F.explode(F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_TERM), vocabulary)).alias("term"))
+    met = rows.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_TERM))).alias("term"))
     df = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     weighed = (
@@ -75,10 +94,12 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     )
     n = len(TEMPLATE_ROWS)
     size = weighed.agg(F.array(*(F.sqrt(F.sum(F.pow(F.get("tf", F.lit(i)) * F.col("idf"), 2))) for i in range(n))).alias("size")).scalar()
-    lines = rows.where(F.col("text").rlike(TRIGGER)).select("path", F.explode(F.filter(F.split("text", "\n"), lambda line: line.rlike(TRIGGER))).alias("line")).distinct()
-    words = lines.select("path", "line", F.explode(terms(F.col("line"))).alias("term")).groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("n"))
-    unseen = F.log(F.lit(1) + total) + 1
-    scored = words.join(F.broadcast(weighed), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", unseen))
+    lines = rows.where(F.col("text").rlike(TRIGGER)).select("path", F.explode(_passages(F.col("path"), F.col("text"))).alias("line"))
+    # a passage is known by its hash: whole files are not carried along
+    lines = lines.select("path", F.sha2(F.col("line").cast("binary"), 256).alias("line"), terms(F.col("line")).alias("terms")).dropDuplicates(["path", "line"])
+    words = lines.select("path", "line", F.explode("terms").alias("term")).groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("n"))
+    counted = words.join(df, "term").withColumn("own_idf", F.log((F.lit(1) + total) / (F.lit(1) + F.col("df"))) + 1)
+    scored = counted.join(F.broadcast(weighed), "term", "left").withColumn("w", F.col("n") * F.col("own_idf"))
     dots = F.array(*(F.coalesce(F.sum(F.col("w") * F.get("tf", F.lit(i)) * F.col("idf")), F.lit(0.0)) for i in range(n)))
     cosines = scored.groupBy("path", "line").agg(dots.alias("dots"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     cosines = cosines.withColumn("size", size).withColumn("c", F.zip_with("dots", "size", lambda d, s: F.round(d / s / F.col("norm"), 9)))

@@ -243,6 +243,15 @@ def test_licenses(spark):
     assert got == {"p/LICENSE": ("MIT", "p/LICENSE"), "p/a/x.c": ("MIT", "p/LICENSE"), "p/a/b/COPYING": ("Apache-2.0", "p/a/b/COPYING"), "p/a/b/c/y.c": ("Apache-2.0", "p/a/b/COPYING"), "q/z.c": ("CC-BY-NC-4.0", "q/z.c"), "r/w.c": (None, None), None: (None, None)}
 
 
+def test_licenses_in_other_words_and_wrapped(spark):
+    rows = [("a/x.c", "Released under the MIT License, see docs notes."), ("b/x.c", "/*\n * Permission is hereby granted, free of charge,\n * to any person obtaining a copy of this software\n * and associated documentation files.\n */\nint main;"), ("c/x.c", "Licensed under the ISC License.")]
+    rows += [(f"n/{i}.txt", f"See docs notes. Version 3. item {i}") for i in range(3000)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r.own_license for r in licenses.scan_licenses(files).where("own_license IS NOT NULL").collect()}
+    assert got == {"a/x.c": "MIT", "b/x.c": "MIT", "c/x.c": "ISC"}
+    assert spark.createDataFrame([("..a 3. v. 2.0... x..y . .b.",)], "t string").select(licenses.terms(F.col("t"))).first()[0] == ["a", "3", "v", "2.0", "x..y", "b"] == licenses._terms("..a 3. v. 2.0... x..y . .b.")
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
 
