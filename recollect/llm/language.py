@@ -2,10 +2,11 @@
 
 A text becomes a TF-IDF vector of its byte 1- to 3-grams (A-Z lowered, ASCII that is no letter as space), hashed to `DIMS`
 places and scaled to length one. Each language has several centroids from spherical k-means; a text gets the language of
-the centroid with the greatest cosine. It is rejected when that cosine is below half of the least one among training texts
-of about its length (powers of two, where at least `SEEN` training texts have that length), or when it has no letter.
+the centroid with the greatest cosine. It is rejected when that cosine is below half of what all but `LOW` of that language's
+training texts of about its length reach (powers of two; where fewer than `SEEN` training texts have that length, the
+nearest length counts that has them, and all lengths together where none has), or when it has no letter.
 
-Document frequencies count every training row. Centroids are fitted on about `per_language` rows of each language, chosen by
+Document frequencies and these floors count every training row, the floors in `BINS` steps. Centroids are fitted on about `per_language` rows of each language, chosen by
 a hash of the id: a bound on what the driver holds, whatever the corpus.
 
 Training rows are those outside the held-out fold with a language; prediction uses the text alone. Defined results: a null
@@ -17,6 +18,7 @@ in order.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import fold
 
 DIMS, SEEN = 1 << 13, 20
+LOW, BINS = 0.01, 1000
 LETTER = re.compile(r"[^\W\d_]")
 FLAT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -67,7 +70,7 @@ def clustered(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, k: int = 3) -> dict:
-    """The model: languages, idf, centroids, their languages, and the least training cosine by length."""
+    """The model: languages, idf, centroids, their languages, and by language the least cosine for a length."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold(id_col).alias("fold"))
     train = rows.where("fold != 0 AND lang IS NOT NULL AND text IS NOT NULL")
 
@@ -102,7 +105,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     by_lang: dict[str, list] = {}
     for r in chosen.mapInArrow(sparse, "lang string, place binary, n binary").collect():
         by_lang.setdefault(r["lang"], []).append((np.frombuffer(r["place"], "<u2"), np.frombuffer(r["n"], "<i4")))
-    langs, centroids, owner, kept = sorted(by_lang), [], [], []
+    langs, centroids, owner = sorted(by_lang), [], []
     for i, lang in enumerate(langs):
         own = sorted(by_lang[lang], key=lambda pair: (len(pair[0]), pair[0].tobytes(), pair[1].tobytes()))
         dense = np.zeros((len(own), DIMS), dtype=np.float32)
@@ -112,12 +115,44 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         found = clustered(x, k)
         centroids.append(found)
         owner += [i] * len(found)
-        kept.append((np.log2(dense.sum(axis=1)).astype(int), (x @ found.T).max(axis=1)))
-    floor: dict[int, float] = {}
-    if kept:
-        sizes_, best = np.concatenate([a for a, _ in kept]), np.concatenate([b for _, b in kept])
-        floor = {int(s): float(best[sizes_ == s].min()) / 2 for s in np.unique(sizes_) if (sizes_ == s).sum() >= SEEN}
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids) if centroids else np.zeros((0, DIMS), np.float32), "owner": np.array(owner, dtype=int), "floor": floor}
+    model = {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids) if centroids else np.zeros((0, DIMS), np.float32), "owner": np.array(owner, dtype=int)}
+    return model | {"floor": floors(train.select("lang", "text"), model)}
+
+
+def floors(train: DataFrame, model: dict) -> list[dict[int, float]]:
+    """For each language the least cosine of a text that is not rejected, by length, from all rows of `train` (lang, text)."""
+    if not model["langs"]:
+        return []
+    shared = train.sparkSession.sparkContext.broadcast(model)
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, seen = shared.value, Counter()
+        place = {lang: i for i, lang in enumerate(m["langs"])}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                live = [(place[lang], t) for lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if lang in place and LETTER.search(t)]
+                if live:
+                    rows, own = np.stack([counts(t) for _, t in live]), np.array([i for i, _ in live])
+                    cosines = np.where(m["owner"] == own[:, None], vectors(rows, m["idf"]) @ m["centroids"].T, 0.0).max(axis=1)
+                    seen.update(zip(own.tolist(), np.log2(rows.sum(axis=1)).astype(int).tolist(), np.minimum(cosines * BINS, BINS - 1).astype(int).tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], pa.int64()) for i in range(3)] + [pa.array(list(seen.values()), pa.int64())], ["own", "size", "bin", "n"])
+
+    # at most languages x lengths x BINS rows
+    found = train.mapInArrow(histogram, "own bigint, size bigint, bin bigint, n bigint").groupBy("own", "size", "bin").agg(F.sum("n").alias("n")).collect()
+    met: list[dict[int, np.ndarray]] = [{} for _ in model["langs"]]
+    for r in found:
+        met[r["own"]].setdefault(r["size"], np.zeros(BINS, dtype=np.int64))[r["bin"]] += r["n"]
+    out: list[dict[int, float]] = []
+    for by_size in met:
+        enough = {size: n for size, n in by_size.items() if n.sum() >= SEEN} or ({0: sum(by_size.values())} if by_size else {})
+        # the first step that more than LOW of the texts do not exceed
+        out.append({size: int((np.cumsum(n) > LOW * n.sum()).argmax()) / BINS / 2 for size, n in enough.items()})
+    return out
+
+
+def _floor(by_size: dict[int, float], size: int) -> float:
+    return by_size[min(by_size, key=lambda s: (abs(s - size), s))] if by_size else 0.0
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +175,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                     sizes = np.log2(rows.sum(axis=1)).astype(int)
                     for j, i in enumerate(live):
                         lang[i], score[i] = langs[owner[best[j]]], min(1.0, max(0.0, float(cosines[j, best[j]])))
-                        rejected[i] = score[i] < m["floor"].get(int(sizes[j]), 0.0)
+                        rejected[i] = score[i] < _floor(m["floor"][owner[best[j]]], int(sizes[j]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(lang), pa.array(score), pa.array(rejected)], ["doc_id", "text_hash", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("text"))

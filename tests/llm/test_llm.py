@@ -191,6 +191,17 @@ def test_language(spark, none):
     assert language.language_digest(none).count() == 0 and language.drop_rejected(docs).count() == 200
 
 
+def test_language_rejects_at_every_length(spark):
+    en, de = "the and of that there with this from which when".split(), "der und die nicht ein über schön für auch ihr".split()
+    rows = [(i, " ".join(random.choices(en if i % 2 else de, k=30)), "en" if i % 2 else "de") for i in range(400)]
+    odd = [(1000, "\u4e00\u9fa5" * 20 + "\u3042", "en")]
+    strange = [(2000, "жщю ъыэ " * 8000, None), (2001, "жщю", None), (2002, "жщю ъыэ " * 12, None)]
+    good = [(3000, " ".join(random.choices(en, k=9000)), None)]
+    docs = spark.createDataFrame([*rows, *odd, *strange, *good], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rejected for r in language.language_digest(docs).collect()}
+    assert got[2000] and got[2001] and got[2002] and not got[3000] and not any(got[i] for i, _, _ in rows)
+
+
 def test_toxicity(spark):
     plain, bad = "morning table river garden window paper yellow simple carry listen".split(), "horrible vermin filthy wretch".split()
     rows = [(i, " ".join(random.choices(plain, k=40) + (random.sample(bad, 2) if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(300)]
