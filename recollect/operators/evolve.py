@@ -19,10 +19,14 @@ def pruned(items: DataFrame) -> DataFrame:
     return items.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("item_id", "confidence")
 
 
-def together(events: DataFrame, bucket: str, item: str, cap: int) -> DataFrame:
-    """How often two items were retrieved together, over buckets of at most `cap` distinct items (larger ones say nothing about a pair)."""
-    sets = events.select(bucket, item).distinct()
-    small = sets.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap).select(bucket)
-    kept = sets.join(small, bucket)
-    a, b = kept.select(bucket, F.col(item).alias("a")), kept.select(bucket, F.col(item).alias("b"))
-    return a.join(b, bucket).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+def together(events: DataFrame, bucket: str, item: str, block: int = 256) -> DataFrame:
+    """How often two items were retrieved together. Equal item sets are paired once, and large ones in pairs of blocks dealt over tasks."""
+    sets = events.where(F.col(bucket).isNotNull()).groupBy(bucket).agg(F.sort_array(F.collect_set(item)).alias("items"))
+    sets = sets.where(F.size("items") > 1).groupBy("items").agg(F.count(F.lit(1)).alias("weight"))
+    last = F.floor((F.size("items") - 1) / F.lit(block)).cast("int")
+    part = lambda k: F.slice("items", k * block + 1, block)
+    left = sets.select("items", "weight", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    both = left.select("items", "weight", "i", F.explode(F.sequence(F.col("i"), last)).alias("j"))
+    dealt = both.select("weight", part(F.col("i")).alias("left"), part(F.col("j")).alias("right")).repartition("left", "right")
+    pairs = dealt.select("weight", "right", F.explode("left").alias("a")).select("weight", "a", F.explode("right").alias("b"))
+    return pairs.where("a < b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))

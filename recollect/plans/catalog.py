@@ -324,7 +324,7 @@ def prune_duplicates(spark, d):
 
 @query("WITH s AS (SELECT DISTINCT user_id, event_type FROM events) SELECT a.event_type AS a, b.event_type AS b, count(*) AS weight FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY 1, 2")
 def hebbian_pairs(spark, d):
-    return evolve.together(table(spark, d, "events"), "user_id", "event_type", 50)
+    return evolve.together(table(spark, d, "events"), "user_id", "event_type")
 
 
 @query("SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

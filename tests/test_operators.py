@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import scalar as X
-from recollect.operators import mutations, patterns, recall
+from recollect.operators import evolve, mutations, patterns, recall
 from recollect.streaming import sessions
 
 
@@ -59,3 +59,10 @@ def test_streamed_session_state(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("state").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert sorted((r.conv_id, r.turn_count, r.observation_count, r.last_prompt) for r in spark.table("state").collect()) == [(1, 2, 1, "c"), (2, 0, 0, None)]
+
+
+def test_together_counts_large_buckets(spark):
+    rows = [(u, f"i{k:03}") for u in (1, 2) for k in range(60)] + [(3, "i000"), (3, "i001"), (3, None), (None, "i000"), (None, "i001"), (4, "i005")]
+    for block in (7, 256):
+        got = {(r.a, r.b): r.weight for r in evolve.together(spark.createDataFrame(rows, "u int, item string"), "u", "item", block=block).collect()}
+        assert len(got) == 60 * 59 // 2 and got.pop(("i000", "i001")) == 3 and set(got.values()) == {2}
