@@ -1,20 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on the windows that stand out in toxic text
-beside a share of the ordinary ones. Each window of a text, behind a lead that both know, is compressed with either; where
-the toxic dictionary saves bytes, the window is like toxic text. A document's score comes from its savings; which summary
-of them serves best, its threshold and its scale are calibrated on training documents that made no dictionary, so that 0.5
-is the best cut for balanced error.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic documents, by the library's own trainer. Both open with
+the same content, trained on ordinary windows of `SPAN` words, so that common language costs the same with either. What follows
+is each class's own: the trainer's choice from the windows of its documents, cut down to the stretches whose strings of `NOVEL`
+bytes the other class lacks.
+
+Whole texts are scored in overlapping windows of `COARSE` words, each compressed with either dictionary behind a lead that both
+know. Where the toxic dictionary saves `OPEN` bytes or more, the window is looked at again in overlapping windows of `FINE`
+words. Counts of fine windows by bytes saved, with the text's length, go into a logistic scale that is calibrated on training
+documents which made no dictionary; its threshold is the best cut there for balanced error and lies at 0.5.
 
 Training uses labelled rows outside the held-out fold, at most about `per_class` of each class, chosen by a hash of the id:
-a bound on what the driver holds; of rows that repeat an id, the least text trains. Windows cover whole texts. Defined results: null and empty texts score as having no
-saving; without rows of both classes every score is 0; a document with several labels trains once for each; rows that repeat
-a doc_id are each returned; an empty table gives an empty result; other columns are ignored.
+a bound on what the driver holds; of rows that repeat an id, the least text trains. Defined results: null and empty texts have
+no windows and score as such; without rows of both classes every score is 0; a document with several labels trains once for
+each; rows that repeat a doc_id are each returned; an empty table gives an empty result; other columns are ignored. Runs of
+more than 64 bytes without white space are cut, each part counting as a word.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,69 +29,95 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-DICT_BYTES, LEVEL, LEAD, CACHE = 1 << 14, 3, 32, 300_000
+COMMON_BYTES, OWN_BYTES, LEAD = 14_000, 1_000, 32
+SPAN, COARSE, STEP, FINE, NOVEL, OPEN = 8, 16, 14, 3, 8, 2
+TOP = 10
 STRIP = b".,;:!?\"'()[]#$%&*|"
+RAW = zstandard.DICT_TYPE_RAWCONTENT
 
 
-def windows(text: str | None) -> list[bytes]:
-    """A window for every word of the whole text, in lower case; what is longer than 64 bytes is cut, each part counting."""
+def words(text: str | None) -> list[bytes]:
+    """Words of the whole text in lower case, without outer punctuation; what is longer than 64 bytes is cut, each part counting."""
     found = []
     for w in (text or "").lower().encode("utf-8", "surrogatepass").split():
         w = w.strip(STRIP)
-        if len(w) <= 64:
+        if 0 < len(w) <= 64:
             found.append(w)
-        else:
+        elif w:
             found += [w[i : i + 64] for i in range(0, len(w), 64)]
     return found
 
 
-class Scales:
-    """Compression lengths with either dictionary."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        # no header fields: lengths are those of the content alone
-        params = zstandard.ZstdCompressionParameters(
-            window_log=16, chain_log=16, hash_log=16, search_log=7, min_match=3, target_length=128, strategy=zstandard.STRATEGY_BTULTRA, write_content_size=0, write_checksum=0, write_dict_id=0
-        )
-        self.pair, self.seen = [], {}
-        for raw in (ordinary, toxic):
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            self.pair.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
-        # both dictionaries hold the lead, so every window is long enough to be compressed as a match and what follows
-        self.lead = ordinary[-LEAD:]
+def windows(own: list[bytes], size: int, step: int) -> list[bytes]:
+    """Windows of `size` words, each `step` words on; together they hold every word."""
+    return [b" " + b" ".join(own[i : i + size]) + b" " for i in range(0, max(1, len(own) - size + step), step)] if own else []
 
-    def saving(self, word: bytes) -> int:
-        found = self.seen.get(word)
-        if found is None:
-            window = self.lead + b" " + word + b" "
-            found = len(self.pair[0](window)) - len(self.pair[1](window))
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[word] = found
-        return found
 
-    def savings(self, text: str | None) -> np.ndarray:
-        return np.array([self.saving(w) for w in windows(text)], dtype=np.float64)
+def _compressor(raw: bytes, **settings):
+    # no header fields: lengths are those of the content alone
+    params = zstandard.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **settings)
+    d = zstandard.ZstdCompressionDict(raw, dict_type=RAW)
+    d.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress
 
-    def features(self, text: str | None) -> np.ndarray:
-        """Greatest saving; mean of the three greatest; positive savings against the root of the number of windows."""
-        s = self.savings(text)
-        if not len(s):
-            return np.zeros(FEATURES)
-        s = np.maximum(s, 0.0)
-        return np.array([s.max(), np.sort(s)[-3:].sum() / 3, s[s >= 3].sum() / np.sqrt(len(s)), s[s >= 4].sum() / np.sqrt(len(s)), s[s >= 3].sum()])
 
+class Scales:
+    """Compression lengths with either dictionary: quick ones for coarse windows, close ones for fine windows."""
 
-FEATURES = 5
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        quick = dict(window_log=14, chain_log=14, hash_log=14, search_log=5, min_match=5, target_length=32, strategy=zstandard.STRATEGY_LAZY2)
+        close = dict(window_log=15, chain_log=15, hash_log=15, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTOPT)
+        self.quick = [_compressor(d, **quick) for d in (ordinary, toxic)]
+        self.close = [_compressor(d, **close) for d in (ordinary, toxic)]
+        # the end of both dictionaries: every window starts with a match and is compressed as what follows
+        self.lead = ordinary[-LEAD:]
 
+    def savings(self, text: str | None) -> tuple[list[int], int]:
+        """Bytes that the toxic dictionary saves in the fine windows looked at, and the number of words."""
+        own, found = words(text), []
+        (ordinary, toxic), (ordinary_close, toxic_close), lead = self.quick, self.close, self.lead
+        for k, coarse in enumerate(windows(own, COARSE, STEP)):
+            coarse = lead + coarse
+            if len(ordinary(coarse)) - len(toxic(coarse)) >= OPEN:
+                for fine in windows(own[k * STEP : k * STEP + COARSE], FINE, 1):
+                    fine = lead + fine
+                    found.append(len(ordinary_close(fine)) - len(toxic_close(fine)))
+        return found, len(own)
 
-def _dictionary(samples: list[bytes]) -> bytes:
-    """Trained content of at most DICT_BYTES: whole samples where they fit, else what the trainer picks."""
+    def features(self, text: str | None) -> np.ndarray:
+        found, n = self.savings(text)
+        met = np.bincount(np.clip(found, 0, TOP), minlength=TOP + 1) if found else np.zeros(TOP + 1)
+        return np.log1p(np.append(np.cumsum(met[:0:-1])[::-1], n))
+
+
+def _strings(window: bytes) -> np.ndarray:
+    """The strings of NOVEL bytes of a window, as integers."""
+    raw = np.frombuffer(window, np.uint8)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, NOVEL)).view(">u8").ravel() if len(raw) >= NOVEL else np.zeros(0, ">u8")
+
+
+def novel(own: list[bytes], other: list[bytes]) -> list[bytes]:
+    """The stretches of windows whose strings of NOVEL bytes no window of `other` has."""
+    known = np.unique(np.concatenate([_strings(w) for w in other])).astype(np.uint64) if other else np.zeros(0, np.uint64)
+    out = []
+    for w in own:
+        h = _strings(w).astype(np.uint64)
+        if not len(known):
+            out += [w] if len(h) else []
+            continue
+        new = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], new, [0])))).tolist()
+        out += [w[a : b + NOVEL - 1] for a, b in zip(edges[::2], edges[1::2])]
+    return out
+
+
+def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
+    """Trained content of at most `size` bytes; where samples are too few for the trainer, the samples themselves."""
     joined = b"".join(samples)
-    if len(joined) <= DICT_BYTES:
-        return joined
-    return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()[-DICT_BYTES:]
+    if len(joined) <= 8 * size or len(samples) < 16:
+        return joined[-size:]
+    # the trainer puts its tables first and the best content last
+    return zstandard.train_dictionary(size + 300, samples, k=segment, d=8).as_bytes()[-size:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000) -> dict | None:
@@ -108,50 +138,57 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def train(ordinary: list[str], toxic: list[str]) -> dict:
     # every other document makes the dictionaries, the rest calibrates
-    make = {0: ordinary[::2], 1: toxic[::2]}
-    known = {k: Counter(w for t in make[k] for w in set(windows(t))) for k in make}
-    n0, n1 = len(make[0]), len(make[1])
-    # windows that toxic texts have far oftener than ordinary ones, and not by chance
-
-    def stands_out(c1: int, c0: int) -> bool:
-        p1, p0, p = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1), (c1 + c0 + 0.5) / (n1 + n0 + 1)
-        return c1 >= 3 and p1 > 4 * p0 and p1 - p0 > 4 * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-
-    marked = {w for w, c in known[1].items() if len(w) > 2 and stands_out(c, known[0][w])}
-    plain = [b" " + w + b" " for t in make[0] for w in windows(t)]
-    base = _dictionary(plain[:: max(1, len(plain) * 8 // (DICT_BYTES * 16))])
-    # the toxic windows that stand out, the most frequent last, where matches are cheapest
-    seen = Counter(w for t in make[1] for w in windows(t) if w in marked)
-    core = b"".join(b" " + w + b" " for w, _ in sorted(seen.items(), key=lambda p: (p[1], p[0])))[-DICT_BYTES // 2 :]
-    # both share the ordinary words, so what differs is toxic text
-    pair = (base, base[: len(base) - LEAD][len(core) :] + core + base[len(base) - LEAD :])
+    spans = lambda texts: [w for t in texts for w in windows(words(t), SPAN, SPAN)]
+    plain, marked, every = spans(ordinary[::2]), spans(toxic[::2]), spans(ordinary)
+    common = _trained(COMMON_BYTES, plain, 64)
+    lead = common[-LEAD:].rjust(LEAD)
+    pair = [common + _trained(OWN_BYTES, own, 10) + lead for own in (novel(plain, marked), novel(marked, every))]
     scales = Scales(*pair)
     x = [(scales.features(t), k) for k, ts in ((0, ordinary[1::2] or ordinary), (1, toxic[1::2] or toxic)) for t in ts]
-    f, y = np.array([a for a, _ in x]), np.array([b for _, b in x])
-    best = (-1.0, 0, 1.0, 1.0)
-    for j in range(FEATURES):
-        v = f[:, j]
-        for cut in np.unique(v):
-            right = ((v >= cut) & (y == 1)).sum() / max(1, (y == 1).sum()) + ((v < cut) & (y == 0)).sum() / max(1, (y == 0).sum())
-            if right > best[0] + 1e-9:
-                below = v[v < cut]
-                best = (float(right), j, float(cut + (below.max() if len(below) else cut - 1.0)) / 2, float(max(v.std(), 1e-6)))
-    return {"ordinary": pair[0], "toxic": pair[1], "feature": best[1], "cut": best[2], "scale": best[3]}
+    f, y = np.array([a for a, _ in x]), np.array([b for _, b in x], dtype=float)
+    mean, spread, weights = _logistic(f, y)
+    p = _scores(f, mean, spread, weights)
+    best = max(((float(((p >= c) & (y == 1)).sum() / (y == 1).sum() + ((p < c) & (y == 0)).sum() / (y == 0).sum()), float(c)) for c in np.unique(p)), key=lambda b: (round(b[0], 9), b[1]))
+    below = p[p < best[1]]
+    cut = (best[1] + (float(below.max()) if len(below) else 0.0)) / 2
+    return {"ordinary": pair[0], "toxic": pair[1], "mean": mean, "spread": spread, "weights": weights, "cut": cut}
+
+
+def _logistic(f: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, spreads and weights (constant last) of a logistic fit, classes weighing alike, by Newton's steps."""
+    mean, spread = f.mean(axis=0), f.std(axis=0) + 1e-6
+    z = np.column_stack([(f - mean) / spread, np.ones(len(f))])
+    share = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    ridge = np.diag([1.0] * f.shape[1] + [1e-6])
+    w = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w -= np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (share * (p - y)) + ridge @ w)
+    return mean, spread, w
+
+
+def _scores(f: np.ndarray, mean: np.ndarray, spread: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    z = np.column_stack([(f - mean) / spread, np.ones(len(f))]) @ weights
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def scored(scales: Scales, model: dict, texts: list[str | None]) -> np.ndarray:
+    """Scores of texts, the calibrated cut moved to 0.5."""
+    if not texts:
+        return np.zeros(0)
+    p, cut = _scores(np.array([scales.features(t) for t in texts]), model["mean"], model["spread"], model["weights"]), model["cut"]
+    return np.where(p >= cut, 0.5 + 0.5 * (p - cut) / max(1 - cut, 1e-9), 0.5 * p / max(cut, 1e-9))
 
 
 def score_texts(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of some 15 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scales = Scales(m["ordinary"], m["toxic"]) if m else None
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            if scales:
-                for i, t in enumerate(batch.column(2)):
-                    v = scales.features(t.as_py())[m["feature"]]
-                    score[i] = 1 / (1 + np.exp(-np.clip(2 * (v - m["cut"]) / m["scale"], -30, 30)))
+            score = scored(scales, m, [t.as_py() for t in batch.column(2)]) if scales else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("text"))
