@@ -25,6 +25,11 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def packed(docs: DataFrame) -> Column:
+    """The whole row as one struct, so that no name of its columns can clash with another."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it from there: lineage ends, lost executors cost nothing."""
     context = df.sparkSession.sparkContext

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, width
+from .common import checkpointed, packed, width
 
 #: Generator polynomials of the codes, their lengths and covering radii.
 GOLAY, HAMMING = 0b101011100011, 0b10011
@@ -126,6 +126,8 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
         return deal
 
     schema = "node bigint, fp bigint, anchor bigint"
+    # few bytes become many: dealt over all tasks before, not over as many as the few bytes fill
+    distinct = distinct.repartition(width(distinct.sparkSession), "fp")
     home = distinct.mapInArrow(sent(0), schema).alias("h")
     away = distinct.mapInArrow(sent(distance), schema).alias("r")
     near = (F.col("h.anchor") == F.col("r.anchor")) & (F.col("h.fp") != F.col("r.fp")) & (F.bit_count(F.col("h.fp").bitwiseXOR(F.col("r.fp"))) <= distance)
@@ -156,9 +158,9 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with a link; root is the least node that it reaches.
 
-    A round contracts the links in each partition to stars, then replaces each star's links by links between the roots
-    that share a leaf. A leaf under one root alone is settled, so only disputed leaves go on, and each round settles all
-    that one partition knows. Roots are resolved through the remaining links when none is disputed.
+    Links of each partition are contracted to stars first. A round then gives every leaf the least of its roots and links that
+    root to the leaf's others, and moves the leaves of a root that is a leaf itself up to that one's root. Reachability stays,
+    and rounds end when nothing changes.
     """
     n = width(edges.sparkSession)
     schema = "a bigint, b bigint"
@@ -181,17 +183,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of `docs`: doc_id, text_hash, fp, component_id (least doc_id reachable over links of at most `distance` bits)."""
     # fingerprints are used thrice; they are narrow, so they are written once
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
     # nodes are fingerprints; a group without any id still has one
-    nodes = distinct.select(F.coalesce("least_id", F.lit(2**63 - 1)).alias("rank"), "fp")
+    nodes = distinct.select(F.coalesce("least_id", F.lit(2**63 - 1)).alias("rank"), "fp", "n")
     edges = links(nodes.select(F.col("fp").alias("node"), "fp"), distance)
     rooted = components(edges)
     by_root = rooted.select("node", "root").unionAll(rooted.select(F.col("root").alias("node"), "root").distinct())
     classes = by_root.join(nodes, by_root["node"] == nodes["fp"]).select("node", "root", "rank")
     least = classes.groupBy("root").agg(F.min("rank").alias("rank"))
     linked = classes.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), F.col("rank").alias("up"))
-    labels = nodes.join(linked, "fp", "left").select("fp", F.nullif(F.coalesce("up", "rank"), F.lit(2**63 - 1)).alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    labels = checkpointed(nodes.join(linked, "fp", "left").select("fp", "n", F.nullif(F.coalesce("up", "rank"), F.lit(2**63 - 1)).alias("component_id")))
+    # a fingerprint with more than a quarter of a task's rows does not meet in one: there are at most 4 times as many as tasks
+    hot = labels.where(F.col("n") > F.lit(fps.count() // (4 * width(docs.sparkSession)) + 1)).select("fp", "component_id")
+    rest = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(labels.select("fp", "component_id"), "fp")
+    both = fps.join(F.broadcast(hot), "fp").unionByName(rest)
+    return both.select("doc_id", "text_hash", "fp", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -202,5 +208,6 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each group: the one whose doc_id names the component."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col(text_col)) == F.col("_gone_hash")), "left_anti")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    rows = docs.select(packed(docs), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti").select("row.*")
