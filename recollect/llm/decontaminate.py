@@ -2,7 +2,7 @@
 
 The normalised n-grams (windows) of the benchmark form a hash set; the corpus is scanned window by window against it,
 every hit is verified word by word, and the words under verified hits are returned, so that spans or whole documents can
-be removed.
+be removed. Windows travel as id, position and hash; texts are read again only to verify the documents with hits.
 
 The set is broadcast only when its measured size (words over all distinct windows) is within `broadcast_words`; a larger
 benchmark is joined by a shuffle on the window's hash. Distinct windows are unique keys on that side, so a passage that a
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, packed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -32,15 +34,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered(text), BETWEEN), "")
 
 
-def _gram_hash(tokens: Column, at: Column | int, n: int) -> Column:
-    """By single elements: slicing a long array copies all of it each time."""
+def _hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def _gram_hash(hashes: Column, at: Column | int, n: int) -> Column:
+    """Of the hashes of words, by single elements: slicing a long array copies all of it each time."""
     at = F.lit(at) if isinstance(at, int) else at
-    return F.xxhash64(*(F.get(tokens, at + j) for j in range(n)))
+    return F.xxhash64(*(F.get(hashes, at + j) for j in range(n)))
 
 
-def _windows(tokens: Column, n: int) -> Column:
+def _windows(hashes: Column, n: int) -> Column:
     """Hashes of all windows of n words, in order; none where there are fewer words."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: _gram_hash(tokens, i, n))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: _gram_hash(hashes, i, n))).otherwise(F.array().cast("array<bigint>"))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -48,36 +54,51 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, item_col: str = "item_i
     tokens = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
     grams = tokens.select("item", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, n))).alias("gram"))
-    h = F.coalesce(*(F.when(F.size("gram") == k, _gram_hash(F.col("gram"), 0, k)) for k in range(1, n + 1)))
+    h = F.coalesce(*(F.when(F.size("gram") == k, _gram_hash(_hashed(F.col("gram")), 0, k)) for k in range(1, n + 1)))
     return grams.groupBy("gram").agg(F.collect_set("item").alias("items")).select(h.alias("h"), F.size("gram").alias("size"), "gram", "items")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = 2_000_000) -> DataFrame:
-    """Verified hits: doc_id, text_hash, at (index of the first word), size, items."""
+def find_candidates(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = 2_000_000) -> DataFrame:
+    """One row per document id and text with windows of equal hash: hit_id, hit_hash, hits (at, size, gram, items), not yet verified.
+
+    The scan carries ids, positions and hashes alone; words are looked at again only in documents with candidates."""
     grams = benchmark_windows(benchmark, n)
     # at most n rows: the lengths of windows, and the set's size in words and item ids
     shape = grams.groupBy("size").agg(F.sum(F.col("size") + F.size("items")).alias("weight")).collect()
     lengths, weight = sorted(r["size"] for r in shape), sum(r["weight"] for r in shape)
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words(F.col(text_col)).alias("w"))
+    hashes = docs.select(F.col(id_col).alias("hit_id"), F.xxhash64(F.col(text_col)).alias("hit_hash"), _hashed(words(F.col(text_col))).alias("wh"))
     scanned = None
     for size in lengths or [n]:
-        one = tokens.select("doc_id", "text_hash", "w", F.posexplode(_windows(F.col("w"), size)).alias("at", "h")).withColumn("size", F.lit(size))
+        one = hashes.select("hit_id", "hit_hash", F.posexplode(_windows(F.col("wh"), size)).alias("at", "h")).withColumn("size", F.lit(size))
         scanned = one if scanned is None else scanned.unionAll(one)
     small = F.broadcast(grams) if weight <= broadcast_words else grams
-    hits = scanned.join(small, ["h", "size"]).where(F.slice("w", F.col("at") + 1, F.col("size")) == F.col("gram"))
-    return hits.select("doc_id", "text_hash", "at", "size", "items")
+    return scanned.join(small, ["h", "size"]).groupBy("hit_id", "hit_hash").agg(F.collect_set(F.struct("at", "size", "gram", "items")).alias("hits"))
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str, broadcast_words: int = 2_000_000, broadcast_hits: int = 20_000) -> DataFrame:
+    """Rows of `docs` as row, id, text, and hits: those whose words are the window's, word by word; null where there is none."""
+    found = checkpointed(find_candidates(docs, benchmark, n, id_col, text_col, broadcast_words))
+    weight = found.agg(F.sum(F.size("hits"))).first()[0] or 0
+    # documents stay where they are read if the candidates are few, by a count just made; else they meet by id and text
+    side = F.broadcast(found) if weight <= broadcast_hits else found
+    rows = docs.select(packed(docs), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("hash"))
+    joined = rows.join(side, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("hash") == F.col("hit_hash")), "left")
+    sure = joined.withColumn("w", F.when(F.col("hits").isNotNull(), words(F.col("t")))).withColumn("hits", F.filter("hits", lambda x: F.slice("w", x["at"] + 1, x["size"]) == x["gram"]))
+    return sure.select("row", "id", "t", "hash", "w", F.when(F.size("hits") > 0, F.col("hits")).alias("hits"))
+
+
+def _hit_words(hits: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, hit_words (sorted word indexes), items (sorted item ids as text)."""
-    hits = find_hits(docs, benchmark, n, id_col, text_col)
-    by_doc = hits.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    every = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.size(words(F.col(text_col))).cast("bigint").alias("n_words")).alias("d")
-    joined = every.join(by_doc.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.text_hash") == F.col("b.text_hash")), "left")
-    return joined.select("d.doc_id", "d.text_hash", "n_words", F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = 2_000_000, broadcast_hits: int = 20_000) -> DataFrame:
+    """One row per row of `docs`: doc_id, text_hash, n_words, hit_words (sorted word indexes), items (sorted item ids as text)."""
+    found = _verified(docs.select(id_col, text_col), benchmark, n, id_col, text_col, broadcast_words, broadcast_hits)
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("hash").alias("text_hash"), F.size(F.coalesce("w", words(F.col("t")))).cast("bigint").alias("n_words"),
+        F.coalesce(_hit_words(F.col("hits")), F.array().cast("array<int>")).alias("hit_words"), F.coalesce(items, F.array().cast("array<string>")).alias("items"),
+    )
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -87,16 +108,14 @@ def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the documents that hold a benchmark window."""
-    hit = find_hits(docs, benchmark, n, id_col, text_col).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hit_hash")), "left_anti")
+    return _verified(docs, benchmark, n, id_col, text_col).where("hits IS NULL").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with contaminated texts rewritten as their remaining words; other texts are untouched."""
-    found = decontaminate(docs, benchmark, n, id_col, text_col).where(F.size("hit_words") > 0).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), "hit_words").dropDuplicates(["_hit_id", "_hit_hash"])
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hit_hash")), "left")
-    rest = F.array_join(F.filter(words(F.col(text_col)), lambda w, i: ~F.array_contains("hit_words", i)), " ")
-    return joined.withColumn(text_col, F.when(F.col("hit_words").isNull(), F.col(text_col)).otherwise(rest)).drop("_hit_id", "_hit_hash", "hit_words")
+    found = _verified(docs, benchmark, n, id_col, text_col).withColumn("gone", F.when(F.col("hits").isNotNull(), _hit_words(F.col("hits"))))
+    rest = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("w") - 1), "gone"), lambda i: F.get("w", i)), " "))
+    return found.withColumn("rest", rest).select(*(F.col("rest").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""
