@@ -23,11 +23,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, width
+from .common import checkpointed, packed, width
 
 #: Rows a task in the estimate of hot groups; a group is cut where its share exceeds one in CUT times the number of tasks.
 SAMPLED, CUT = 1000, 4
-FIRST, SIZE = F.col("id").asc_nulls_last(), F.count(F.lit(1))
+
+
+def _first() -> Column:
+    return F.col("id").asc_nulls_last()
+
+
+def _size() -> Column:
+    return F.count(F.lit(1))
 
 
 def normalised(text: Column) -> Column:
@@ -45,7 +52,7 @@ def _chunks(docs: DataFrame, text: Column) -> DataFrame | None:
     rate = min(1.0, SAMPLED * tasks / max(1, rows))
     seen = docs.select(F.xxhash64(text).alias("tie")) if rate == 1.0 else docs.select(text.alias("t")).sample(rate, 5).select(F.xxhash64("t").alias("tie"))
     share = F.col("n") / F.lit(max(1.0, rate * rows))
-    hot = seen.groupBy("tie").agg(SIZE.alias("n")).where((share * (CUT * tasks) > 1) & (F.col("n") > SAMPLED // CUT))
+    hot = seen.groupBy("tie").agg(_size().alias("n")).where((share * (CUT * tasks) > 1) & (F.col("n") > SAMPLED // CUT))
     found = [(r["tie"], r["chunks"]) for r in hot.select("tie", F.ceil(share * (CUT * tasks)).cast("int").alias("chunks")).collect()]
     return docs.sparkSession.createDataFrame(found, "tie bigint, chunks int") if found else None
 
@@ -57,7 +64,7 @@ def sorted_runs(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> tup
     itself as a struct, so that no name of its columns can clash."""
     text = normalised(F.col(text_col))
     hot = _chunks(docs, text)
-    carried = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []
+    carried = [packed(docs)] if whole else []
     # a whole row carries its text, so the normalised one is made again where it arrives instead of travelling beside it
     rows = docs.select(F.col(id_col).alias("id"), text.alias("norm"), *carried)
     keyed = rows.select("*", F.substring(F.col("norm").cast("binary"), 1, 32).alias("head"), F.xxhash64("norm").alias("tie"))
@@ -69,7 +76,7 @@ def sorted_runs(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> tup
     if whole:
         ranged = ranged.withColumn("norm", normalised(F.col(f"row.`{text_col}`")))
     run = Window.partitionBy("head", "tie", "chunk", "norm")
-    return ranged.withColumns({"place": F.row_number().over(run.orderBy(FIRST)), "run_id": F.min("id").over(run), "run_size": SIZE.over(run)}), hot is not None
+    return ranged.withColumns({"place": F.row_number().over(run.orderBy(_first())), "run_id": F.min("id").over(run), "run_size": _size().over(run)}), hot is not None
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +98,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = runs.where("place = 1").select("row", "id", "chunks", F.when(F.col("chunks") > 1, F.col("norm")).alias("first"))
     if cut:
         firsts = checkpointed(firsts)
-        best = firsts.where("chunks > 1").withColumn("n", F.row_number().over(Window.partitionBy("first").orderBy(FIRST))).where("n = 1")
+        best = firsts.where("chunks > 1").withColumn("n", F.row_number().over(Window.partitionBy("first").orderBy(_first()))).where("n = 1")
         firsts = firsts.where("chunks = 1").select("row").unionAll(best.select("row"))
     return firsts.select("row.*")
 

@@ -26,14 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, packed
 
 DIMS, SEEN = 1 << 13, 20
 LOW, BINS = 0.01, 1000
-LETTER = re.compile(r"[^\W\d_]")
+WORDY = re.compile(r"[^\W\d_]")
 FLAT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether the text has a letter; other signs of words, such as fractions, are none."""
+    return any(m[0].isalpha() for m in WORDY.finditer(text))
+
+
 def counts(text: str) -> np.ndarray:
     """Hashed n-gram counts of a whole text."""
     raw = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass").translate(FLAT) + b" ", dtype=np.uint8).astype(np.uint32)
@@ -131,7 +136,7 @@ def floors(train: DataFrame, model: dict) -> list[dict[int, float]]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                live = [(place[lang], t) for lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if lang in place and LETTER.search(t)]
+                live = [(place[lang], t) for lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if lang in place and has_letter(t)]
                 if live:
                     rows, own = np.stack([counts(t) for _, t in live]), np.array([i for i, _ in live])
                     cosines = np.where(m["owner"] == own[:, None], vectors(rows, m["idf"]) @ m["centroids"].T, 0.0).max(axis=1)
@@ -167,7 +172,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 part = batch.slice(at, 256)
                 texts = [t.as_py() for t in part.column(3)]
                 lang, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-                live = [i for i, t in enumerate(texts) if t and langs and LETTER.search(t)]
+                live = [i for i, t in enumerate(texts) if t and langs and has_letter(t)]
                 if live:
                     rows = np.stack([counts(texts[i]) for i in live])
                     cosines = vectors(rows, m["idf"]) @ m["centroids"].T
@@ -189,5 +194,6 @@ def language_digest(docs: DataFrame) -> DataFrame:
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """`docs` without the documents that language identification rejects."""
     found = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
-    gone = found.where("rejected").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col(text_col)) == F.col("_gone_hash")), "left_anti")
+    gone = found.where("rejected").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    rows = docs.select(packed(docs), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti").select("row.*")
