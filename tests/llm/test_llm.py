@@ -66,6 +66,25 @@ def test_random_tokens_are_found(spark):
     assert sum(got[i] for i in range(30)) >= 27 and sum(got[100 + i] for i in range(30)) == 0
 
 
+NAMES = "service backup config session user index cache order worker queue table value status update report filter client server buffer handler module region account invoice payment shipping customer product".split()
+
+
+def test_false_reports_are_bounded(spark):
+    """Names and long words are not reported, random tokens are, with digits or without, in any encoding."""
+    r = random.Random(11)
+    snake = ["_".join(r.sample(NAMES, 4)) + f"_{r.randint(1, 99)}" for _ in range(200)]
+    camel = ["".join(w.capitalize() for w in r.sample(NAMES, 4)) for _ in range(200)]
+    other = ["/".join(r.sample(NAMES, 4)) for _ in range(100)] + ["internationalization", "counterrevolutionaries", "2024010112000000000000", "--------------------", "aaaaaaaaaaaaaaaaaaaaaaaa"]
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    good = ["".join(r.choice(c) for _ in range(24)) for c in (chars, chars, chars[26:], chars[:52]) for _ in range(100)]
+    rows = list(enumerate(snake + camel + other + good))
+    df = spark.createDataFrame([(i, f"the {t} here") for i, t in rows], "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.n_random for x in secrets.secrets_digest(df).collect()}
+    names = len(snake + camel + other)
+    wrong, right = sum(got[i] for i in range(names)), sum(got[i] for i in range(names, len(rows)))
+    assert wrong <= 0.05 * (wrong + right) and right >= 0.9 * len(good)
+
+
 def lowered_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
 
