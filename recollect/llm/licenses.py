@@ -2,12 +2,13 @@
 
 Each passage of a file that speaks of licences is a sparse TF-IDF vector, compared by cosine with notice templates; the best
 passage at or above `threshold` gives the file's own licence. Passages are lines, windows of up to `WRAPPED` lines around
-them (headers wrapped over lines), paragraphs, and licence files as a whole. Inverse document frequencies of all words
-count all files, cut into words in the same way. A file without a licence of its own takes that of the nearest ancestor directory that
+them (headers wrapped over lines), paragraphs, and licence files as a whole; templates are references in one line, standard
+headers, opening paragraphs and titles. Inverse document frequencies of the words of passages and templates count all files,
+cut into words in the same way. A file without a licence of its own takes that of the nearest ancestor directory that
 has a licence file (LICENSE, LICENCE, COPYING, NOTICE and names that begin so), by joining directories' ancestor paths.
 
-Bounds: only the templates' vocabulary (some hundred words, fixed here) and their weights are sure to be broadcast; the
-frequencies of passages' words are joined as the planner sees fit. Directories, not
+Bounds: the templates' vocabulary is fixed here; the words of passages and their frequencies are broadcast up to
+`broadcast_terms`, by a count made before, and joined by the word beyond. Directories, not
 files, are joined with ancestors; files are dealt over `salts` when they take the result, so one directory may hold a third
 of all files.
 
@@ -20,28 +21,48 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Notices as projects commonly write them, by SPDX identifier.
+from .common import checkpointed
+
+# Notices as projects commonly write them, by SPDX identifier: references, standard headers, opening paragraphs and titles.
+_APACHE = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_REST = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+_MIT_REST = "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_GNU = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} Public License as published by the Free Software Foundation; "
+_LATER = "either version {0} of the License, or (at your option) any later version."
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", _APACHE, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    ),
+    "MIT": ("Released under the MIT License.", _MIT + ".", _MIT + " " + _MIT_REST, "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
+        _GNU.format("program", "General") + _LATER.format(3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", _GNU.format("program", "General") + "version 2.", _GNU.format("program", "General") + _LATER.format(2), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", _GNU.format("library", "Lesser General") + _LATER.format(3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", _GNU.format("program", "Affero General") + _LATER.format(3), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", _BSD + ".", _BSD_THIRD, _BSD + " " + _BSD_TWO + " " + _BSD_THIRD),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC0-1.0": ("Released into the public domain under CC0 1.0.",),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
-    "ISC": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    "LGPL-2.1": ("This library is licensed under the GNU Lesser General Public License, version 2.1.",),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", _BSD + " " + _BSD_TWO),
+    "ISC": ("Licensed under the ISC License.", _ISC, _ISC + " " + _ISC_REST),
+    "LGPL-2.1": ("This library is licensed under the GNU Lesser General Public License, version 2.1.", _GNU.format("library", "Lesser General") + _LATER.format("2.1"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+TRIGGER_WORDS = ("licens", "licenc", "copyright", "spdx", "redistribut", "public domain", "permission is hereby")
 TRIGGER = r"(?i)licen[sc]|copyright|spdx|redistribut|public domain|permission is hereby"
 #: What lies between words, with the full stops at their ends.
 NOT_TERM = r"(?<!\.)\.*+(?:[^a-z0-9.]++\.*+)++|^\.++|(?<!\.)\.++$"
@@ -81,24 +102,32 @@ def _template_counts(spark) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(term, tf)")
 
 
-def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = 0.6, salts: int = 16) -> DataFrame:
+def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = 0.6, salts: int = 16, broadcast_terms: int = 300_000) -> DataFrame:
     """One row per row of `files`: path, own_license, own_score, license, license_from (the file itself or its licence file)."""
     spark = files.sparkSession
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    # plain tests leave out most files before the pattern reads lines
+    small = F.lower("text")
+    lines = rows.where(reduce(lambda a, b: a | b, (small.contains(w) for w in TRIGGER_WORDS))).select("path", F.explode(_passages(F.col("path"), F.col("text"))).alias("line"))
+    # a passage is known by its hash: whole files are not carried along
+    lines = lines.select("path", F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("line"), terms(F.col("line")).alias("terms"))
+    counts = _template_counts(spark)
+    asked = checkpointed(lines.select(F.explode(F.array_distinct("terms")).alias("term")).unionAll(counts.select("term")).distinct())
+    # only words of passages and templates are counted, over all files; their number decides how they meet
+    few = asked.count() <= broadcast_terms
+    near = F.broadcast if few else lambda side: side
     met = rows.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_TERM))).alias("term"))
-    df = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = checkpointed(met.join(near(asked), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     weighed = (
-        F.broadcast(_template_counts(spark)).join(df, "term", "left")
+        counts.join(near(df), "term", "left")
         .select("term", "tf", (F.log((F.lit(1) + total) / (F.lit(1) + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
     )
     n = len(TEMPLATE_ROWS)
     size = weighed.agg(F.array(*(F.sqrt(F.sum(F.pow(F.get("tf", F.lit(i)) * F.col("idf"), 2))) for i in range(n))).alias("size")).scalar()
-    lines = rows.where(F.col("text").rlike(TRIGGER)).select("path", F.explode(_passages(F.col("path"), F.col("text"))).alias("line"))
-    # a passage is known by its hash: whole files are not carried along
-    lines = lines.select("path", F.sha2(F.col("line").cast("binary"), 256).alias("line"), terms(F.col("line")).alias("terms")).dropDuplicates(["path", "line"])
+    lines = lines.dropDuplicates(["path", "line"])
     words = lines.select("path", "line", F.explode("terms").alias("term")).groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("n"))
-    counted = words.join(df, "term").withColumn("own_idf", F.log((F.lit(1) + total) / (F.lit(1) + F.col("df"))) + 1)
+    counted = words.join(near(df), "term").withColumn("own_idf", F.log((F.lit(1) + total) / (F.lit(1) + F.col("df"))) + 1)
     scored = counted.join(F.broadcast(weighed), "term", "left").withColumn("w", F.col("n") * F.col("own_idf"))
     dots = F.array(*(F.coalesce(F.sum(F.col("w") * F.get("tf", F.lit(i)) * F.col("idf")), F.lit(0.0)) for i in range(n)))
     cosines = scored.groupBy("path", "line").agg(dots.alias("dots"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

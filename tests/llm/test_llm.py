@@ -347,6 +347,49 @@ def test_licenses_in_other_words_and_wrapped(spark):
     assert spark.createDataFrame([("..a 3. v. 2.0... x..y . .b.",)], "t string").select(licenses.terms(F.col("t"))).first()[0] == ["a", "3", "v", "2.0", "x..y", "b"] == licenses._terms("..a 3. v. 2.0... x..y . .b.")
 
 
+def test_standard_headers(spark):
+    """Standard headers, wrapped at 60 columns behind comment marks, are told apart; plain code has no licence."""
+    import textwrap
+
+    headers = {
+        "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    }
+    rows = [(f"{k}/x.c", "/*\n * Copyright (c) 2020 Somebody\n *\n" + "\n".join(" * " + x for x in textwrap.wrap(t, 60)) + "\n */\nint main(void) { return 0; }\n" * 3) for k, t in headers.items()]
+    rows += [(f"plain/{i}.c", f"int f{i}(int a) {{ return a + {i}; }} // see the docs, version {i % 4} of the public notes") for i in range(400)]
+    rows += [("one/line.txt", "word " * 60000 + "under the license of words"), ("plain/1.c", rows[9][1]), ("no/text", None), ("no/text2", "")]
+    files = spark.createDataFrame([(*r, "x", 1) for r in rows], "path string, text string, term string, df int")
+    for limit in (300_000, 0):  # frequencies broadcast, and joined
+        got = {r.path: r.own_license for r in licenses.scan_licenses(files, broadcast_terms=limit).collect()}
+        assert {k: v for k, v in got.items() if v} == {f"{k}/x.c": k for k in headers}
+    assert licenses.scan_licenses(files).count() == len(rows) and licenses.scan_licenses(files.limit(0)).count() == 0
+
+
+def test_license_cosine(spark):
+    """The cosine of a passage with a template, by its definition."""
+    from collections import Counter
+    from math import log, sqrt
+
+    rows = [("a.c", "Some words. Released under the MIT License, they say."), ("b.c", "the license of the MIT"), ("c.c", "under words"), ("d.c", None)]
+    seen = Counter(w for _, t in rows if t for w in set(licenses._terms(t)))
+    idf = lambda w: log((1 + len(rows)) / (1 + seen[w])) + 1
+    vector = lambda t: {w: n * idf(w) for w, n in Counter(licenses._terms(t)).items()}
+    norm = lambda v: sqrt(sum(x * x for x in v.values()))
+
+    def cosine(a, b):
+        return sum(x * b.get(w, 0.0) for w, x in a.items()) / norm(a) / norm(b)
+
+    want = {p: max(cosine(vector(t), vector(x)) for _, x in licenses.TEMPLATE_ROWS) for p, t in rows if t}
+    got = {r.path: r.own_score for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string"), threshold=0.05).collect()}
+    assert got["d.c"] is None and all(abs(got[p] - want[p]) < 1e-6 for p in ("a.c", "b.c"))
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
 
