@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Origin prefixes with their recall tier and confidence ceiling; anything else is tier 4.
 ORIGIN_RULES = (("cli:", 1, 1.0), ("user:", 1, 1.0), ("code:", 1, 1.0), ("unknown", 1, 0.3), ("hook:", 4, 1.0), ("structured:", 4, 1.0))
 #: Prompts that never trigger recall.
-TRIVIAL = ("ok", "okay", "yes", "no", "y", "n", "thanks", "continue", "done", "sure")
+TRIVIAL = ("yes", "no", "ok", "sure", "y", "n", "k", "yep", "nope", "yeah")
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -76,8 +76,36 @@ def fresh(at: Column, now: Column, days: int = 7) -> Column:
     return F.coalesce(F.floor((F.unix_timestamp(now) - F.unix_timestamp(F.try_to_timestamp(at))) / 86400) <= days, F.lit(True))
 
 
-def skips_recall(prompt: Column, last: Column) -> Column:
-    """Blank, trivial, command-like or repeated prompts."""
+def never_recalls(prompt: Column) -> Column:
+    """Blank, trivial or command-like prompts."""
     text = strip(prompt)
     trivial = (F.size(F.split(text, r"\s+")) <= 3) & F.lower(text).isin(*TRIVIAL)
-    return (text == "") | trivial | text.startswith("/") | F.coalesce(text == strip(last), F.lit(False))
+    return (text == "") | trivial | text.startswith("/")
+
+
+def tool_text(name: Column, given: Column, result: Column) -> Column:
+    """What an observed tool call reads like; `given` is JSON, empty where nothing was given."""
+    return F.concat(F.lit("Tool `"), name, F.lit("` called. Input: "), F.substring(F.coalesce(given, F.lit("")), 1, 200), F.lit(". Result: "), F.substring(F.coalesce(result, F.lit("")), 1, 300))
+
+
+def error_text(name: Column, error: Column) -> Column:
+    return F.concat(F.lit("Error in `"), name, F.lit("`: "), F.substring(error, 1, 500))
+
+
+def summary_text(turns: Column, observations: Column, last: Column) -> Column:
+    return F.concat(F.lit("Session summary (turns="), turns.cast("string"), F.lit(", observations="), observations.cast("string"), F.lit("): "), F.substring(last, 1, 1000))
+
+
+def pattern_query(folder: Column) -> Column:
+    """Search text for a folder's patterns."""
+    return F.concat(F.lit("patterns conventions decisions for "), F.element_at(F.split(folder, "/"), -1))
+
+
+def embed(text: Column, dims: int = 64) -> Column:
+    """A deterministic stand-in for a model: word pairs hashed to signed places, scaled to length one (zeros for no words)."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
+    grams = F.concat(words, F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(words, i), w)))
+    places = F.transform(grams, lambda g: F.xxhash64(g))
+    summed = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(places, lambda p: F.pmod(p, F.lit(dims)) == d), F.lit(0.0), lambda a, p: a + F.when(F.pmod(F.shiftright(p, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
+    norm = F.sqrt(F.aggregate(summed, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(summed, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm))

@@ -15,7 +15,8 @@ def decayed(items: DataFrame, now: int, half_life: float, floor: float) -> DataF
 
 def pruned(items: DataFrame) -> DataFrame:
     """Of equal contents the most confident stays (then the oldest)."""
-    w = Window.partitionBy(F.sha1("content")).orderBy(F.col("confidence").desc(), "created_seq")
+    # items without content are nobody's copies, each its own group
+    w = Window.partitionBy(F.coalesce(F.sha1("content"), F.concat(F.lit("item "), "item_id"))).orderBy(F.col("confidence").desc(), "created_seq")
     return items.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("item_id", "confidence")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.sources.tables import written
+
 from . import predicates as P
 
 
@@ -32,14 +34,14 @@ def neighbours(edges: DataFrame, item: str) -> DataFrame:
 
 
 def within_hops(edges: DataFrame, start: str, hops: int) -> DataFrame:
-    """item_id and its least number of outgoing hops; the frontier grows by one join a hop."""
+    """item_id and its least number of outgoing hops; the frontier grows by one join a hop, and is written down so that plans do not."""
     spark = edges.sparkSession
     live = edges.where("edge_type IS NOT NULL AND source_id <> target_id").select("source_id", "target_id").distinct()
     reached = spark.range(1).select(F.lit(start).alias("item_id"), F.lit(0).alias("hops"))
     front = reached
     for k in range(1, hops + 1):
         step = front.join(live, front["item_id"] == live["source_id"]).select(F.col("target_id").alias("item_id")).distinct()
-        front = step.join(reached, "item_id", "left_anti").select("item_id", F.lit(k).alias("hops"))
+        front = written(step.join(reached, "item_id", "left_anti").select("item_id", F.lit(k).alias("hops")))
         reached = reached.unionByName(front)
     return reached
 

@@ -55,3 +55,34 @@ def entity_edges(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def keyed(patterns: DataFrame) -> DataFrame:
     return patterns.select("name", "label", canonical_key(F.col("name"), F.col("label")).alias("canonical_key"), entity_id(F.col("name"), F.col("label")).alias("entity_id"))
+
+
+def without_pattern(store: DataFrame, name: str, label: str) -> DataFrame:
+    """The store without the pattern of that name, if its label is the same too."""
+    return store.where(~((F.lower("name") == name.lower()) & (F.col("label") == label)))
+
+
+def manifest_changes(applied: DataFrame, bundled: DataFrame) -> DataFrame:
+    """Files of the bundled manifest that are new or whose checksum differs; both have file and checksum."""
+    old = applied.select("file", F.col("checksum").alias("was"))
+    return bundled.join(old, "file", "left").where(~F.col("checksum").eqNullSafe(F.col("was"))).select("file", F.when(F.col("was").isNull(), "new").otherwise("changed").alias("change"))
+
+
+def sync_seeds(store: DataFrame, seeds: DataFrame, changes: DataFrame) -> DataFrame:
+    """The store and the seeds of changed files that it lacks: what is there is never overwritten. `seeds` has file and seq too."""
+    added = new_seeds(seeds.join(changes.select("file"), "file", "left_semi"), store)
+    names = ["name", "label", "confidence", "frequency", "source"]
+    return store.select(names).unionByName(added.select(names))
+
+
+def generated(entries: DataFrame) -> DataFrame:
+    """Seed patterns from ordered categories: of equal names the first stays; primary names are surer than aliases.
+
+    `entries` has category_no, place, is_alias, name and label; case matters here."""
+    first = Window.partitionBy("name").orderBy("category_no", "place", "is_alias")
+    kept = entries.withColumn("n", F.row_number().over(first)).where("n = 1")
+    return kept.select("name", "label", F.when(F.col("is_alias"), 0.95).otherwise(0.99).alias("confidence"), F.lit(2).alias("frequency"))
+
+
+def counts(patterns: DataFrame) -> DataFrame:
+    return patterns.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

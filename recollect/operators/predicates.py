@@ -15,6 +15,10 @@ USER_TYPES = ("pending", "semantic", "episodic", "procedural", "zettel", "reason
 EXPERTISE = ("decision", "constraint", "learned", "opinion", "observation")
 
 
+# Folders that code indexing leaves out.
+NO_CODE = (".git", ".hg", ".svn", "node_modules", ".venv", "venv", "env", "__pycache__", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "tmp")
+
+
 def not_internal() -> Column:
     return ~F.coalesce(F.col("memory_type"), F.lit("")).isin(*INTERNAL) & ~F.coalesce(F.col("node_category"), F.lit("")).isin("entity", "relation")
 
@@ -53,3 +57,17 @@ def has_properties(df: DataFrame, wanted: dict[str, str], map_col: str = "props"
 
 def mentions(needle: str, col: str = "content") -> Column:
     return F.coalesce(F.contains(F.lower(F.col(col)), F.lit(needle.lower())), F.lit(False))
+
+
+def code_path(path: Column, extra: tuple[str, ...] = ()) -> Column:
+    """No folder on the path is left out; the defaults and the caller's own together."""
+    return ~F.arrays_overlap(F.split(path, "/"), F.array(*(F.lit(f) for f in sorted({*NO_CODE, *extra}))))
+
+
+def snapshot_matches(workspace: str | None, own: Column) -> Column:
+    """An unknown workspace on either side matches."""
+    return F.lit(True) if workspace is None else own.isNull() | (own == workspace)
+
+
+def in_domain(domain: str | None, col: Column) -> Column:
+    return F.lit(True) if domain is None else F.coalesce(col == domain, F.lit(False))

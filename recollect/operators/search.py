@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.scalar import cosine
 
+from . import predicates as P
+
 
 def clamp(top_k: int) -> int:
     return max(1, min(200, top_k))
 
 
 def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id and score (Robertson and Zaragoza). Only the query's terms are exploded; lengths and frequencies cover all documents."""
+    """id and score (Robertson and Zaragoza). Texts are cut once, into a length and the counts of the query's terms; one aggregate gives all totals."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z]+"), 0)
-    rows = docs.select(F.col(id_col), tokens.alias("w")).withColumn("len", F.size("w"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    wanted = F.array(*map(F.lit, query))
-    hits = rows.select(id_col, "len", F.explode(F.filter("w", lambda t: F.array_contains(wanted, t))).alias("term")).groupBy(id_col, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = hits.join(F.broadcast(df), "term").withColumn("n", stats.select("n").scalar()).withColumn("avg_len", stats.select("avg_len").scalar())  # one row a query term
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return joined.groupBy(id_col).agg(F.sum(part).alias("score"))
+    asked = list(dict.fromkeys(query))
+    occurs = lambda t: F.size(F.filter("w", lambda x: x == t))
+    tf = [occurs(t).alias(f"tf{k}") for k, t in enumerate(asked)]
+    rows = docs.select(F.col(id_col).alias("key"), tokens.alias("w")).select("key", F.size("w").alias("len"), *tf)
+    totals = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(asked)))).alias("t"))
+    hits = rows.where(F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf{k}") for k in range(len(asked)))) > 0).crossJoin(F.broadcast(totals))  # one row
+
+    def part(k: int):
+        n, df, tf = F.col("t.n"), F.col(f"t.df{k}"), F.col(f"tf{k}")
+        return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("t.avg_len")))
+
+    return hits.select(F.col("key").alias(id_col), reduce(lambda x, y: x + y, (part(k) for k in range(len(asked))), F.lit(0.0)).alias("score"))
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id") -> DataFrame:
@@ -44,3 +52,70 @@ def ranked(df: DataFrame, id_col: str, *order, depth: int = 1000) -> DataFrame:
     """id and rank of the first `depth` rows; the ranking window sees only those."""
     top = df.orderBy(*order).limit(depth)
     return top.select(id_col, F.row_number().over(Window.orderBy(*order)).alias("rank"))
+
+
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", block: int = 256) -> DataFrame:
+    """query id, id and score of the k nearest rows to each query by cosine.
+
+    Queries go round in blocks of `block`, each broadcast; a task keeps its k best of each query before anything is exchanged."""
+    numbered = queries.select(F.col(id_col).alias("query_id"), F.col("embedding").alias("probe"))
+    dealt = numbered.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
+    out = None
+    for n in [r[0] for r in dealt.select("block").distinct().orderBy("block").collect()]:
+        probes = F.broadcast(dealt.where(F.col("block") == n).drop("block"))
+        scored = vectors.join(probes).select("query_id", id_col, F.round(cosine(F.col("embedding"), F.col("probe")), 6).alias("score"))
+        local = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col)
+        best = scored.withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def near_pairs(vectors: DataFrame, by: str, threshold: float, id_col: str = "vec_id") -> DataFrame:
+    """Consecutive rows of a group whose cosine is `threshold` or more."""
+    w = Window.partitionBy(by).orderBy(id_col)
+    both = vectors.withColumn("next_id", F.lead(id_col).over(w)).withColumn("next", F.lead("embedding").over(w)).where("next_id IS NOT NULL")
+    return both.select(id_col, "next_id", F.round(cosine(F.col("embedding"), F.col("next")), 6).alias("score")).where(F.col("score") >= threshold)
+
+
+def wildcard(nodes: DataFrame, filters: dict[str, str] | None = None, memory_type: str | None = None, include_reference: bool = False) -> DataFrame:
+    """Every item that is no internal one; a limit is not applied to a wildcard."""
+    kept = nodes.where(P.not_internal())
+    if not include_reference:
+        kept = kept.where(P.not_reference())
+    if filters:
+        kept = kept.where(P.has_properties(kept, filters))
+    return kept if memory_type is None else kept.where(F.col("memory_type") == memory_type)
+
+
+def with_type(filters: dict[str, str] | None, memory_type: str | None) -> dict[str, str]:
+    """A type asked for beside filters becomes one of them; an explicit filter wins."""
+    return ({"memory_type": memory_type} if memory_type else {}) | (filters or {})
+
+
+def search(items: DataFrame, query: str, top_k: int = 5, filters: dict[str, str] | None = None, include_reference: bool = False, memory_type: str | None = None, vectors: DataFrame | None = None, probe: list[float] | None = None, depth: int = 100) -> DataFrame:
+    """item_id and score of the best items: words and vectors ranked apart and fused by reciprocal ranks; `*` lists everything.
+
+    Filters come before ranking, so that sparse matches are not missed beyond a window of candidates."""
+    if query.strip() == "*":
+        return wildcard(items, filters, memory_type, include_reference).select("item_id", F.lit(None).cast("double").alias("score"))
+    kept = wildcard(items, with_type(filters, memory_type), None, include_reference)
+    words = re.findall("[a-z]+", query.lower())
+    order = (F.col("score").desc(), F.col("item_id"))
+    channels = [ranked(bm25(kept, words, "item_id", "content").select("item_id", F.round("score", 4).alias("score")), "item_id", *order, depth=depth)]
+    if vectors is not None and probe is not None:
+        near = vectors.join(kept.select("item_id"), "item_id", "left_semi").select("item_id", F.round(cosine(F.col("embedding"), F.array(*map(F.lit, map(float, probe)))), 6).alias("score"))
+        channels.append(ranked(near, "item_id", *order, depth=depth))
+    return fuse(channels, "item_id").select("item_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "item_id").limit(clamp(top_k))
+
+
+def text_first(items: DataFrame, query: str, top_k: int) -> DataFrame:
+    """item_id and channel: items that hold the query as it stands, then those that hold any of its words."""
+    words = re.findall("[a-z]+", query.lower())
+    whole = items.where(P.mentions(query)).select("item_id", F.lit(0).alias("channel"))
+    some = items.where(F.arrays_overlap(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit("[a-z]+"), 0), F.array(*map(F.lit, words)))).select("item_id", F.lit(1).alias("channel"))
+    return whole.unionByName(some).groupBy("item_id").agg(F.min("channel").alias("channel")).orderBy("channel", "item_id").limit(clamp(top_k))
+
+
+def expert(items: DataFrame) -> DataFrame:
+    """Items of the types that hold expertise."""
+    return items.where(F.col("memory_type").isin(*P.EXPERTISE))

@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 STRIP = r"regexp_replace(regexp_replace(coalesce({0}, ''), '^\s+', ''), '\s+$', '')"
 LIVE = "edge_type IS NOT NULL AND source_id <> target_id"
 TIER12 = "(origin IS NULL OR origin = '' OR origin LIKE 'cli:%' OR origin LIKE 'user:%' OR origin LIKE 'code:%' OR origin LIKE 'unknown%')"
-SCOPE = f"{TIER12} AND coalesce(workspace_id = 'ws_1', TRUE) AND coalesce(confidence, 1.0) >= 0.3 AND NOT coalesce(reference, FALSE) AND {STRIP.format('content')} <> ''"
+SCOPE = f"{TIER12} AND coalesce(workspace_id = 'ws_1', TRUE) AND coalesce(confidence, 1.0) >= 0.3 AND NOT coalesce(reference, FALSE) AND memory_type IS DISTINCT FROM 'snapshot' AND {STRIP.format('content')} <> ''"
 
 
 def query(sql: str | None = None):
@@ -80,9 +80,9 @@ def recall_lines(spark, d):
     return recall.recall(view(spark, d, "v_items"), 10, "ws_1")
 
 
-@query("SELECT event_id, (86400 * 45 + 3600 * 1 - (event_id % 60) * 86400) / 86400 >= 0 AND CAST(floor((event_id % 60 * 86400 + 3600) / 86400) AS BIGINT) <= 7 AS fresh FROM events WHERE event_id % 60 <= 45")
+@query("SELECT event_id, (86400 * 45 + 3600 * 1 - (event_id % 60) * 86400) / 86400 IS NOT NULL AND CAST(floor((event_id % 60 * 86400 + 3600) / 86400) AS BIGINT) <= 7 AS fresh FROM events")
 def snapshot_fresh(spark, d):
-    e = table(spark, d, "events").where("event_id % 60 <= 45")
+    e = table(spark, d, "events")
     now = F.to_timestamp(F.lit("2024-03-01T01:00:00Z"))
     at = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit("2024-03-01T00:00:00Z"))) - F.col("event_id") % 60 * 86400), "yyyy-MM-dd'T'HH:mm:ssXXX")
     return e.select("event_id", X.fresh(at, now).alias("fresh"))
@@ -168,11 +168,25 @@ def rrf_top(spark, d):
     return search.fuse([a, b], "doc_id").select("doc_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(5)
 
 
-@query("SELECT vec_id, score FROM (SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY score DESC, vec_id LIMIT 10")
+@query("""SELECT query_id, vec_id, score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""")
 def knn_top(spark, d):
     v = table(spark, d, "embeddings")
-    probe = v.where("vec_id = 0").select("embedding").limit(1).collect()  # the query vector: one row
-    return search.knn(v, list(probe[0][0]) if probe else [0.0], 10)
+    return search.knn_join(v, v.where("vec_id % 50 = 0"), 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("""SELECT vec_id, next_id, score FROM (SELECT vec_id, lead(vec_id) OVER w AS next_id, round(list_cosine_similarity(embedding::DOUBLE[], (lead(embedding) OVER w)::DOUBLE[]), 6) AS score FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+WHERE next_id IS NOT NULL AND score >= 0.1""")
+def cosine_pairs(spark, d):
+    return search.near_pairs(table(spark, d, "embeddings"), "label", 0.1)
+
+
+@query("""WITH RECURSIVE t AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+g AS (SELECT label, vec_id, n, e AS last, TRUE AS fires FROM t WHERE n = 1 UNION ALL
+SELECT t.label, t.vec_id, t.n, CASE WHEN list_cosine_similarity(t.e, g.last) < 0.1 THEN t.e ELSE g.last END, list_cosine_similarity(t.e, g.last) < 0.1 FROM g JOIN t ON t.label = g.label AND t.n = g.n + 1)
+SELECT vec_id, fires FROM g""")
+def topic_gate(spark, d):
+    return sessions.topic_gate(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.1).select("vec_id", "fires")
 
 
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], prev::DOUBLE[]), 6) < 0.0 AS changed FROM (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings) WHERE prev IS NOT NULL")
@@ -190,15 +204,17 @@ def pattern_fold(spark, d):
     return patterns.fold(view(spark, d, "v_pattern_log"))
 
 
-@query(FOLD + " SELECT key, frequency FROM f WHERE frequency >= 2")
+@query(FOLD + " SELECT key, frequency FROM f WHERE frequency >= 2 AND length(name) >= 2 AND key NOT IN (SELECT lower(min(p_name)) FROM part)")
 def pattern_gate(spark, d):
-    return patterns.quality(patterns.active(patterns.fold(view(spark, d, "v_pattern_log")))).select("key", "frequency")
+    first = table(spark, d, "part").agg(F.lower(F.min("p_name"))).first()[0]
+    return patterns.quality(patterns.active(patterns.fold(view(spark, d, "v_pattern_log"))), (first,)).select("key", "frequency")
 
 
-@query("WITH s AS (SELECT name, label, seq, row_number() OVER (PARTITION BY lower(name) ORDER BY seq) AS n FROM v_pattern_log WHERE seq % 2 = 0) SELECT name, label, seq FROM s WHERE n = 1 AND lower(name) NOT IN (SELECT lower(name) FROM v_pattern_log WHERE seq % 5 = 1)")
+@query("WITH s AS (SELECT name, label, seq, row_number() OVER (PARTITION BY lower(name) ORDER BY seq) AS n FROM (SELECT lower(s_name) AS name, 'ORG' AS label, s_suppkey AS seq FROM supplier UNION ALL SELECT p_name, p_type, p_partkey + 1000000 FROM part)) SELECT name, label, seq FROM s WHERE n = 1 AND lower(name) NOT IN (SELECT lower(p_name) FROM part)")
 def seed_anti_join(spark, d):
-    log = view(spark, d, "v_pattern_log")
-    return patterns.new_seeds(log.where("seq % 2 = 0").select("name", "label", "seq"), log.where("seq % 5 = 1"))
+    part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
+    seeds = supplier.select(F.lower("s_name").alias("name"), F.lit("ORG").alias("label"), F.col("s_suppkey").alias("seq")).unionByName(part.select(F.col("p_name").alias("name"), F.col("p_type").alias("label"), (F.col("p_partkey") + 1000000).alias("seq")))
+    return patterns.new_seeds(seeds, part.select(F.col("p_name").alias("name")))
 
 
 GAZ = """WITH g AS (SELECT name, CAST(count(*) AS BIGINT) AS frequency, CASE length(name) % 4 WHEN 0 THEN 'CONCEPT' WHEN 1 THEN 'TOOL' WHEN 2 THEN 'PERSON' ELSE 'PLACE' END AS label
@@ -297,11 +313,21 @@ def token_budget_prefix(spark, d):
     return recall.budget_prefix(table(spark, d, "conversations"), "conv_id", "turn", "text", 100, 5).select("conv_id", "turn", F.col("used").cast("bigint").alias("used"))
 
 
-@query(f"SELECT conv_id, turn, NOT ({STRIP.format('text')} = '' OR text LIKE '/%' OR coalesce(text = prev, FALSE) OR (len(string_split_regex({STRIP.format('text')}, '\\s+')) <= 3 AND lower({STRIP.format('text')}) IN {X.TRIVIAL})) AS fires FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations WHERE role = 'user')")
+GATE = f"""WITH u AS (SELECT conv_id, turn, {STRIP.format('text')} AS p FROM conversations WHERE role = 'user'),
+a AS (SELECT *, NOT (p = '' OR p LIKE '/%' OR (len(string_split_regex(p, '\\s+')) <= 3 AND lower(p) IN ('yes', 'no', 'ok', 'sure', 'y', 'n', 'k', 'yep', 'nope', 'yeah'))) AS able FROM u),
+g AS (SELECT conv_id, turn, able AND NOT coalesce(lag(p) OVER (PARTITION BY conv_id, able ORDER BY turn) = p, FALSE) AS fires FROM a)"""
+
+
+@query(GATE + " SELECT conv_id, turn, fires FROM g")
 def recall_gate(spark, d):
     return sessions.gate(table(spark, d, "conversations"))
 
 
+@query(GATE + " SELECT conv_id, turn, FALSE AS session_only, fires AS every_prompt FROM g")
+def recall_strategies(spark, d):
+    return sessions.strategies(table(spark, d, "conversations"))
+
+
 @query("SELECT event_id, 'new_event' AS type, operation, 'unknown' AS component, nullif(trace_id, '') AS trace_id, nullif(span_id, '') AS span_id FROM v_spans")
 def viewer_messages(spark, d):
     return events.messages(view(spark, d, "v_spans"))
@@ -317,7 +343,7 @@ def decay_confidence(spark, d):
     return evolve.decayed(view(spark, d, "v_items"), 1_000_000, 500_000.0, 0.2)
 
 
-@query("SELECT item_id, confidence FROM (SELECT item_id, confidence, row_number() OVER (PARTITION BY content ORDER BY confidence DESC, created_seq) AS n FROM v_items) WHERE n = 1")
+@query("SELECT item_id, confidence FROM (SELECT item_id, confidence, row_number() OVER (PARTITION BY coalesce(content, item_id) ORDER BY confidence DESC, created_seq) AS n FROM v_items) WHERE n = 1")
 def prune_duplicates(spark, d):
     return evolve.pruned(view(spark, d, "v_items"))
 
@@ -341,8 +367,12 @@ def session_events(spark, d):
 
 
 def queries() -> dict:
+    from . import memory_catalog  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    from . import memory_catalog  # noqa: F401
+
     return dict(ORACLES)
