@@ -51,19 +51,21 @@ def ordered_dedup(candidates: DataFrame, top_k: int, rank: str = "rank") -> Data
     names = candidates.columns
     body = F.lower(F.substring(strip(F.col("content")), 1, 120))
     typed = F.coalesce(F.nullif(F.col("memory_type"), F.lit("")), F.lit("?"))
-    ranked = candidates.select(F.struct(F.col(rank).alias("at"), F.struct(*names).alias("row"), F.col("item_id").alias("id"), body.alias("body"), F.concat_ws("\x01", typed, body).alias("key")).alias("c"))
-    rows = F.sort_array(F.collect_list("c"))
+    ranked = candidates.select(F.struct(F.col(rank).cast("bigint").alias("at"), F.struct(*names).alias("row"), F.col("item_id").alias("id"), body.alias("body"), F.concat_ws("\x01", typed, body).alias("key")).alias("c"))
+    # by rank alone: rows may hold maps, which have no order
+    rows = F.array_sort(F.collect_list("c"), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
     held = ranked.groupBy().agg(F.when(F.count(F.lit(1)) > 2 * WIDEST, F.raise_error(F.lit("too many candidates for an ordered scan"))).otherwise(rows).alias("rows"))
 
     def scan(state: Column, c: Column) -> Column:
-        kept = state["kept"]
-        ids, keys = F.transform(kept, lambda x: x["id"]), F.transform(kept, lambda x: x["key"])
-        seen = (F.coalesce(c["id"], F.lit("")) != "") & F.array_contains(ids, F.coalesce(c["id"], F.lit("")))
-        drop = (c["body"] == "") | seen | F.array_contains(keys, c["key"]) | (F.size(kept) >= top_k)
-        return F.struct(F.when(drop, kept).otherwise(F.array_append(kept, c)).alias("kept"))
-
-    empty = F.struct(F.slice("rows", 1, 0).alias("kept"))
-    return held.select(F.explode(F.aggregate("rows", empty, scan)["kept"]).alias("c")).select("c.row.*")
+        # only keys are carried on; what they keep is read once at the end
+        known = (F.coalesce(c["id"], F.lit("")) != "") & F.array_contains(state["ids"], F.coalesce(c["id"], F.lit("")))
+        drop = (c["body"] == "") | known | F.array_contains(state["keys"], c["key"]) | (F.size(state["keys"]) >= top_k)
+        grown = F.struct(F.array_append(state["at"], c["at"]).alias("at"), F.array_append(state["ids"], F.coalesce(c["id"], F.lit(""))).alias("ids"), F.array_append(state["keys"], c["key"]).alias("keys"))
+        return F.when(drop, state).otherwise(grown)
+
+    empty = F.struct(F.array().cast("array<bigint>").alias("at"), F.array().cast("array<string>").alias("ids"), F.array().cast("array<string>").alias("keys"))
+    kept = held.select("rows", F.aggregate("rows", empty, scan)["at"].alias("at"))
+    return kept.select(F.explode(F.filter("rows", lambda c: F.array_contains("at", c["at"]))).alias("c")).select("c.row.*")
 
 
 def recall(items: DataFrame, top_k: int = 10, workspace: str | None = None, strict: bool = False, floor: float = 0.3) -> DataFrame:

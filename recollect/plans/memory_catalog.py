@@ -192,10 +192,10 @@ def recall_block(spark, d):
 
 def _snapshots(spark, d):
     stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("created_seq") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return view(spark, d, "v_items").withColumns({"created_at": stamp, "memory_type": F.when(F.col("created_seq") % 50 == 7, "snapshot").otherwise(F.col("memory_type"))})
+    return view(spark, d, "v_items").withColumns({"created_at": stamp, "memory_type": F.when(F.col("stale"), "snapshot").otherwise(F.col("memory_type"))})
 
 
-@query(f"SELECT {STRIP.format('content')} AS frame FROM v_items WHERE created_seq = (SELECT max(created_seq) FROM v_items WHERE created_seq % 50 = 7)")
+@query(f"SELECT {STRIP.format('content')} AS frame FROM v_items WHERE created_seq = (SELECT max(created_seq) FROM v_items WHERE stale)")
 def snapshot_frame(spark, d):
     return recall.snapshot_frame(_snapshots(spark, d), F.to_timestamp(F.lit("2024-01-02T00:00:00Z")))
 
@@ -308,10 +308,11 @@ def enqueue_jobs(spark, d):
     return ingest.enqueue(o, view(spark, d, "v_jobs")).select("item_id", "enqueued_at", F.get(F.map_keys("entity_ids"), F.lit(0)).alias("name"))
 
 
-@query("WITH l AS (SELECT o_custkey AS id, o_orderkey AS at_, o_orderkey % 4 AS s FROM orders WHERE o_orderkey % 5 <> 4) SELECT id, CASE max(s) WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'done' END AS status, max(at_) AS last_at FROM l GROUP BY id")
+@query("WITH l AS (SELECT o_custkey AS id, o_orderkey AS at_, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) - 1 AS s FROM orders WHERE o_orderpriority NOT LIKE '5%') SELECT id, CASE max(s) WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'done' END AS status, max(at_) AS last_at FROM l GROUP BY id")
 def fold_jobs(spark, d):
-    s = F.element_at(F.array(*map(F.lit, ("pending", "processing", "failed", "done"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return ingest.fold_jobs(table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), F.when(F.col("o_orderkey") % 5 != 4, s).alias("status"))).withColumnRenamed("at", "last_at")
+    # the last priority stands for an event that is no change of status
+    s = F.try_element_at(F.array(*map(F.lit, ("pending", "processing", "failed", "done"))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    return ingest.fold_jobs(table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), s.alias("status"))).withColumnRenamed("at", "last_at")
 
 
 @query("SELECT item_id, CAST(9 AS BIGINT) AS tx_seq, 'merge' AS op, 'origin' AS k, 'cli:retag' AS v FROM v_items WHERE contains(lower(content), 'license')")
@@ -380,9 +381,9 @@ def manifest_counts(spark, d):
 
 # --- events and counters
 
-@query("SELECT event_id, user_id, CAST(seq AS BIGINT) AS seq FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seq FROM events WHERE event_id % 7 > 1) WHERE event_type IN ('click', 'view')")
+@query("SELECT event_id, user_id, CAST(seq AS BIGINT) AS seq FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seq FROM events WHERE props <> '{}' AND value >= 20) WHERE event_type IN ('click', 'view')")
 def event_sequence(spark, d):
-    spans = view(spark, d, "v_spans").withColumn("run", F.col("trace_id")).withColumn("subscribers", (F.col("event_id") % 7 - 1).cast("int"))
+    spans = view(spark, d, "v_spans").withColumn("run", F.col("trace_id")).withColumn("subscribers", F.when((F.col("props") != "{}") & (F.col("value") >= 20), 1).otherwise(0))
     return events.sequenced(spans, "subscribers", "event_id").select("event_id", F.substring("run", 2, 20).cast("bigint").alias("user_id"), "seq")
 
 
