@@ -4,7 +4,8 @@ A string of `length` bytes holds exactly one minimiser (its 24-byte word of leas
 hold equal ones. So the strings around one minimiser, a segment of at most 2 * length - 24 bytes, travel together:
 
 1. every document sends its minimisers' hashes, packed, to a task chosen by the hash; the task answers which of them other
-   documents have too. Nothing else of a text travels for what is unique;
+   documents have too. What two documents of one batch have is known there, and two of them stand for all, so a passage of a
+   third of the corpus loads no task. Nothing else of a text travels for what is unique;
 2. documents cut the segments of shared minimisers. Equal segments of one batch are merged before they travel: they keep
    the least document, and all later ones are repeats already. A group of thousands of copies shrinks to a few per batch;
 3. a task builds, for the distinct segments around equal minimisers, a suffix array with common-prefix lengths, scans it
@@ -155,34 +156,66 @@ def _send_hashes(length: int, n: int):
         for ids, texts, _ in _batched(batches):
             own, hashes, _, _ = segments(texts, length)
             keys = np.array([-1 if i is None else i for i in ids], dtype=np.int64)
-            known = np.array([i is not None for i in ids], dtype=bool)
-            own, hashes = own[known[own]] if len(own) else own, hashes[known[own]] if len(own) else hashes
+            known = np.array([i is not None for i in ids], dtype=bool)[own]
+            h, d = hashes[known], keys[own[known]]
             # one entry for a document and hash
-            order = np.lexsort((own, hashes))
-            own, hashes = own[order], hashes[order]
-            if len(own):
-                new = np.ones(len(own), dtype=bool)
-                new[1:] = (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1])
-                own, hashes = own[new], hashes[new]
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+            h, d = h[new], d[new]
+            # what two documents of the batch have is shared: they are told at once, and only two of them go on to stand for the rest
+            first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=bool)
+            start = np.flatnonzero(first)
+            group = np.cumsum(first) - 1
+            met = np.diff(np.append(start, len(h)))[group] > 1
+            ahead = ~met | (np.arange(len(h)) - start[group] < 2)
             out = []
-            for b, at in _by_bucket(hashes, n):
-                h = hashes[at]
-                uniq, place = np.unique(own[at], return_inverse=True)
-                out.append((b, _pack(_planes(h), place.astype("<u2" if len(uniq) < 65536 else "<u4"), keys[uniq])))
+            for b, at in _by_bucket(h[ahead], n):
+                out.append((b, _entries(h[ahead][at], d[ahead][at])))
+            out += [(-1 - shard, blob) for shard, blob in _by_shard(h[met], d[met], n)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "blob"])
 
     return run
 
 
+def _entries(h: np.ndarray, d: np.ndarray) -> bytes:
+    """Hashes with their documents, packed."""
+    uniq, place = np.unique(d, return_inverse=True)
+    return _pack(_planes(h), place.astype("<u2" if len(uniq) < 65536 else "<u4"), uniq)
+
+
+def _by_shard(h: np.ndarray, d: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
+    """Entries by a shard of the document."""
+    if not len(h):
+        return
+    shard = _shard(d, n)
+    # stable: hashes ascend within a shard, so that equal ones pack well
+    order = np.argsort(shard, kind="stable")
+    h, d, shard = h[order], d[order], shard[order]
+    cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))).tolist()
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        yield int(shard[x]), _entries(h[x:y], d[x:y])
+
+
 def _answer(n: int):
-    """The hashes of a bucket that two documents or more have, packed with their documents by a shard of the document."""
+    """The hashes of a bucket that two documents or more have, packed with their documents by a shard of the document.
+
+    A hash that many documents have comes with two of each batch, however many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
         for batch in batches:
+            known = []
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(b, []).append(blob)
+                if b < 0:
+                    known.append((-1 - b, blob))
+                else:
+                    held.setdefault(b, []).append(blob)
+            if known:
+                yield told(known)
         for b in sorted(held):
             hashes, docs = [], []
             for blob in held.pop(b):
@@ -199,19 +232,8 @@ def _answer(n: int):
             mixed = np.zeros(group[-1] + 1, dtype=bool)
             mixed[group[1:][differ]] = True
             keep = mixed[group]
-            h, d = h[keep], d[keep]
-            if not len(h):
-                continue
-            shard = _shard(d, n)
-            # stable: hashes ascend within a shard, so that equal ones pack well
-            order = np.argsort(shard, kind="stable")
-            h, d, shard = h[order], d[order], shard[order]
-            cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))).tolist()
-            blobs = []
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                uniq, place = np.unique(d[x:y], return_inverse=True)
-                blobs.append(_pack(_planes(h[x:y]), place.astype("<u2" if len(uniq) < 65536 else "<u4"), uniq))
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
+            if keep.any():
+                yield told(list(_by_shard(h[keep], d[keep], n)))
 
     return run
 
@@ -428,18 +450,21 @@ def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([start[at], np.append(top[at[1:] - 1], top[-1])], axis=1)
 
 
+def _dealt_key():
+    """What is known at once stays spread; the rest meets by bucket."""
+    return F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket").cast("bigint"))
+
+
 def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans (packed little-endian int64 pairs): bytes covered by a `length`-byte string that an earlier document has."""
     n = width(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     hashes = texts.mapInArrow(_send_hashes(length, n), "bucket int, blob binary")
-    answers = hashes.repartition(n, "bucket").mapInArrow(_answer(n), "shard int, blob binary")
+    answers = hashes.repartition(n, _dealt_key()).mapInArrow(_answer(n), "shard int, blob binary")
     by_doc = answers.repartition(n, "shard").mapInArrow(_by_document, "doc_id bigint, shared binary")
     asked = texts.join(by_doc, F.col("key") == F.col("doc_id")).select("key", "body", "shared")
     cut = asked.mapInArrow(_send_segments(length, n), "bucket int, blob binary")
-    # what is known at once stays spread; the rest meets by bucket
-    key = F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket").cast("bigint"))
-    dealt = cut.repartition(n, key).mapInArrow(_groups(length, n), "shard int, blob binary")
+    dealt = cut.repartition(n, _dealt_key()).mapInArrow(_groups(length, n), "shard int, blob binary")
     return dealt.repartition(n, "shard").mapInArrow(_gather, "doc_id bigint, spans binary")
 
 
