@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,14 +43,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once: what a lambda names from outside is evaluated anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_sums(lengths: Column, block: int = 256) -> Column:
     """Exclusive prefix sums of a non-empty array<bigint>, in blocks so that the work stays near linear for long arrays."""
     zero = F.lit(0).cast("bigint")
     total = lambda a: F.aggregate(a, zero, lambda acc, x: acc + x)
-    count = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / F.lit(block)).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, F.lit(block))))
-    before = F.aggregate(blocks, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    return F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.get(before, F.floor(i / F.lit(block)).cast("int")) + total(F.slice(lengths, F.floor(i / F.lit(block)).cast("int") * block + 1, i % block)),
-    )
+    of = lambda i: F.floor(i / F.lit(block)).cast("int")
+
+    def before(own: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), of(F.size(own) - 1)), lambda b: total(F.slice(own, b * block + 1, F.lit(block))))
+        return F.aggregate(sums, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    return let(lengths, lambda own: let(before(own), lambda ahead: F.transform(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.get(ahead, of(i)) + total(F.slice(own, of(i) * block + 1, i % block)))))

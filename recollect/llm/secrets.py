@@ -28,7 +28,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums
+from .common import let, prefix_sums
 
 # The base patterns and their order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,20 +46,17 @@ SHARES = {"v": 0.32, "c": 0.38, "r": 0.15, "d": 0.045, "u": 0.1, "s": 0.005}
 
 def _spans(text: Column, pattern: str, kind: int, found: Column, size: Column) -> Column:
     """Spans of the leftmost matches `found`, with their positions from the gaps between them."""
-    gaps = F.split(text, pattern, -1)
-    lengths = F.transform(found, lambda m, i: (F.length(F.get(gaps, i)) + F.length(m)).cast("bigint"))
-    before = prefix_sums(lengths)
-    spans = F.transform(
-        found,
-        lambda m, i: F.struct(
-            (F.get(before, i) + F.length(F.get(gaps, i))).cast("bigint").alias("start"),
-            F.lit(kind).alias("kind"),
-            (F.get(before, i) + F.length(F.get(gaps, i)) + F.length(m)).cast("bigint").alias("end"),
-            F.length(F.get(size, i)).cast("bigint").alias("size"),
-            m.alias("token"),
-        ),
-    )
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
+
+    def placed(gaps: Column) -> Column:
+        ahead = prefix_sums(F.zip_with(found, gaps, lambda m, g: (F.length(g) + F.length(m)).cast("bigint")))
+        starts = F.zip_with(ahead, gaps, lambda at, g: (at + F.length(g)).cast("bigint"))
+        ended = F.zip_with(starts, found, lambda at, m: F.struct(at.alias("start"), m.alias("token")))
+        return F.zip_with(
+            ended, size,
+            lambda p, s: F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), (p["start"] + F.length(p["token"])).cast("bigint").alias("end"), F.length(s).cast("bigint").alias("size"), p["token"].alias("token")),
+        )
+
+    return F.when(F.size(found) > 0, let(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), placed)).otherwise(F.array().cast(SPAN))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -79,15 +76,22 @@ ALPHABETS = (
 
 
 def _battery(token: Column) -> Column:
-    """struct(stratum, bits, pbin) of one token."""
-    which, letters, alphabet = F.lit(len(ALPHABETS) - 1), F.regexp_replace(token, r"[_-]", ""), F.lit(ALPHABETS[-1][2])
+    """Encoding (its place among ALPHABETS), length, alphabet's size and character codes of one token, and the token in one case where one stands for both."""
+    which, alphabet = F.lit(len(ALPHABETS) - 1), F.lit(ALPHABETS[-1][2])
     for i, (_, pattern, chars) in reversed(list(enumerate(ALPHABETS))):
         hit = token.rlike(pattern)
         which = F.when(hit, F.lit(i)).otherwise(which)
         alphabet = F.when(hit, F.lit(chars)).otherwise(alphabet)
-    folded = F.when(which.isin(1, 3), F.lower(letters)).otherwise(letters)
-    codes = F.transform(F.split(folded, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    return F.struct(which.alias("which"), F.length(folded).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k"), codes.alias("codes"), F.when(which == 2, F.lower(letters)).otherwise(folded).alias("folded"))
+
+    def coded(t: Column) -> Column:
+        codes = F.transform(F.split(t["folded"], ""), lambda c: (F.instr(t["alphabet"], c) - 1).cast("double"))
+        return F.struct(t["which"].alias("which"), F.length(t["folded"]).cast("double").alias("n"), F.length(t["alphabet"]).cast("double").alias("k"), codes.alias("codes"), F.when(t["which"] == 2, F.lower(t["folded"])).otherwise(t["folded"]).alias("folded"))
+
+    def folded(t: Column) -> Column:
+        letters = F.regexp_replace(t["token"], r"[_-]", "")
+        return let(F.struct(t["which"].alias("which"), t["alphabet"].alias("alphabet"), F.when(t["which"].isin(1, 3), F.lower(letters)).otherwise(letters).alias("folded")), coded)
+
+    return let(F.struct(token.alias("token"), which.alias("which"), alphabet.alias("alphabet")), folded)
 
 
 def _tests(b: Column) -> Column:
@@ -105,8 +109,8 @@ def _tests(b: Column) -> Column:
     spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
     z_runs = F.abs(runs - expected) / spread
     mean = total(codes) / n
-    variance = F.greatest(total(F.transform(codes, lambda c: (c - mean) * (c - mean))), F.lit(1e-9))
-    lagged = total(F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, c: F.coalesce((a - mean) * (c - mean), zero)))
+    variance = F.greatest(let(mean, lambda mu: total(F.transform(codes, lambda c: (c - mu) * (c - mu)))), F.lit(1e-9))
+    lagged = let(mean, lambda mu: total(F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, c: F.coalesce((a - mu) * (c - mu), zero))))
     z_serial = F.abs(lagged / variance + 1 / n) * F.sqrt(n)
     p = F.least(F.lit(1.0), 3 * F.least(_upper_tail(z_chi), 2 * _upper_tail(z_runs), 2 * _upper_tail(z_serial)))
     p = F.when(F.size(F.array_distinct(codes)) < 6, F.lit(0.0)).otherwise(p)
@@ -158,7 +162,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.concat(F.filter(_spans(F.col("t"), ASSIGN, 0, F.col("a"), F.col("a2")), lambda s: s["size"] >= 6), _spans(F.col("t"), ACCESS, 1, F.col("k"), F.col("k")), _spans(F.col("t"), HEX, 2, F.col("h"), F.col("h"))).alias("base"),
         _spans(F.col("t"), CANDIDATE, 3, F.col("c"), F.col("c")).alias("c"),
     )
-    step = step.withColumn("c", F.filter("c", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    step = step.withColumn("c", let(F.col("base"), lambda base: F.filter("c", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))
     step = step.withColumn("c", F.transform("c", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _battery(s["token"]).alias("b"))))
     # a run of separators alone has no characters to test
     step = step.withColumn("c", F.filter("c", lambda s: s["b"]["n"] > 1))
