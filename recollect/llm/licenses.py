@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, let
 
 # Notices as projects commonly write them, by SPDX identifier: references, standard headers, opening paragraphs and titles.
 _APACHE = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
@@ -85,14 +85,16 @@ def terms(text: Column) -> Column:
 
 
 def _passages(path: Column, text: Column) -> Column:
-    lines = F.split(text, "\n")
-    at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(TRIGGER))
     spans = [(back, n) for n in range(1, WRAPPED + 1) for back in range(n)]
-    window = lambda i, back, n: F.when((i >= back) & (i - back + n <= F.size(lines)), F.array_join(F.slice(lines, F.greatest(i - back, F.lit(0)) + 1, n), " "))
-    windows = F.flatten(F.transform(at, lambda i: F.array(*(window(i, back, n) for back, n in spans))))
+
+    def windows(lines: Column) -> Column:
+        window = lambda i, back, n: F.when((i >= back) & (i - back + n <= F.size(lines)), F.array_join(F.slice(lines, F.greatest(i - back, F.lit(0)) + 1, n), " "))
+        at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(TRIGGER))
+        return F.flatten(F.transform(at, lambda i: F.array(*(window(i, back, n) for back, n in spans))))
+
     blocks = F.filter(F.split(text, BLANK), lambda b: b.rlike(TRIGGER))
     whole = F.when(F.coalesce(path, F.lit("")).rlike(LICENSE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.array_distinct(F.concat(windows, blocks, whole)), lambda x: x.isNotNull())
+    return F.filter(F.array_distinct(F.concat(let(F.split(text, "\n"), windows), blocks, whole)), lambda x: x.isNotNull())
 
 
 def _template_counts(spark) -> DataFrame:
