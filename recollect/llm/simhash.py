@@ -189,15 +189,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = links(nodes.select(F.col("fp").alias("node"), "fp"), distance)
     rooted = components(edges)
     by_root = rooted.select("node", "root").unionAll(rooted.select(F.col("root").alias("node"), "root").distinct())
-    classes = by_root.join(nodes, by_root["node"] == nodes["fp"]).select("node", "root", "rank")
-    least = classes.groupBy("root").agg(F.min("rank").alias("rank"))
-    linked = classes.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), F.col("rank").alias("up"))
+    classes = checkpointed(by_root.join(nodes, by_root["node"] == nodes["fp"]).select("node", "root", "rank"))
+    least = classes.groupBy("root").agg(F.min("rank").alias("up"), F.count(F.lit(1)).alias("n"))
+    # a component may hold a third of all fingerprints
+    linked = _met(classes.select("node", "root"), least, "root").select(F.col("node").alias("fp"), "up")
     labels = checkpointed(nodes.join(linked, "fp", "left").select("fp", "n", F.nullif(F.coalesce("up", "rank"), F.lit(2**63 - 1)).alias("component_id")))
-    # a fingerprint with more than a quarter of a task's rows does not meet in one: there are at most 4 times as many as tasks
-    hot = labels.where(F.col("n") > F.lit(fps.count() // (4 * width(docs.sparkSession)) + 1)).select("fp", "component_id")
-    rest = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(labels.select("fp", "component_id"), "fp")
-    both = fps.join(F.broadcast(hot), "fp").unionByName(rest)
-    return both.select("doc_id", "text_hash", "fp", "component_id")
+    return _met(fps, labels, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def _met(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """`rows` with the one row that `side` has for their key; `side` counts in n how many rows have it.
+
+    A key with more than a quarter of a task's rows meets its row by a broadcast, as there are at most 4 such keys a task."""
+    hot = side.where(F.col("n") > F.lit(rows.count() // (4 * width(rows.sparkSession)) + 1)).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(side.drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
