@@ -130,6 +130,8 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     distinct = distinct.repartition(width(distinct.sparkSession), "fp")
     home = distinct.mapInArrow(sent(0), schema).alias("h")
     away = distinct.mapInArrow(sent(distance), schema).alias("r")
+    # the planner takes the size of what is dealt for that of its replicas, and would broadcast those by way of the driver
+    away = away.hint("merge")
     near = (F.col("h.anchor") == F.col("r.anchor")) & (F.col("h.fp") != F.col("r.fp")) & (F.bit_count(F.col("h.fp").bitwiseXOR(F.col("r.fp"))) <= distance)
     return home.join(away, near).select(F.least("h.node", "r.node").alias("a"), F.greatest("h.node", "r.node").alias("b")).distinct()
 

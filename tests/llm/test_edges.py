@@ -229,3 +229,12 @@ def test_pipeline_by_plain_python(spark, tmp_path):
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_replicas_are_never_broadcast(spark):
+    # adaptive planning knows the size of what is dealt, and a replica has 143 times that
+    distinct = spark.createDataFrame([(i, (i >> 1) * 2654435761 % 2**61 * 2 + i % 2) for i in range(500)], "node long, fp long")
+    found = simhash.links(distinct)
+    assert len(found.collect()) >= 250
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
