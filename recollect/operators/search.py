@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recollect.functions.scalar import cosine
 
@@ -54,22 +58,117 @@ def ranked(df: DataFrame, id_col: str, *order, depth: int = 1000) -> DataFrame:
     return top.select(id_col, F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
-def knn_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", block: int = 256) -> DataFrame:
-    """query id, id and score of the k nearest rows to each query by cosine.
+#: Scores are ranked by six decimals, so that much, and room for rounding, below the k-th may still come before it.
+SLACK = 2e-6
 
-    Queries go round in blocks of `block`, each broadcast; a task keeps its k best of each query before anything is exchanged."""
-    numbered = queries.select(F.col(id_col).alias("query_id"), F.col("embedding").alias("probe"))
-    dealt = numbered.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
-    out = None
-    for n in [r[0] for r in dealt.select("block").distinct().orderBy("block").collect()]:
-        probes = F.broadcast(dealt.where(F.col("block") == n).drop("block"))
-        scored = vectors.join(probes).select("query_id", id_col, F.round(cosine(F.col("embedding"), F.col("probe")), 6).alias("score"))
-        local = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col)
-        best = scored.withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added in order as `cosine` adds them."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
     return out
 
 
+def _by_length(column: pa.ChunkedArray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Places and matrix of the arrays of each length; places of nulls and of arrays that hold one."""
+    rows = column.combine_chunks()
+    rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) and rows.num_chunks else rows
+    lengths = pc.fill_null(pc.list_value_length(rows), -1).to_numpy(zero_copy_only=False).copy()
+    values = rows.flatten()
+    if values.null_count:
+        lengths[pc.list_parent_indices(rows).to_numpy()[values.is_null().to_numpy(zero_copy_only=False)]] = -1
+    found = {}
+    for n in np.unique(lengths[lengths >= 0]).tolist():
+        own = np.flatnonzero(lengths == n)
+        found[n] = own, rows.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), n)
+    return found, np.flatnonzero(lengths < 0)
+
+
+def _nearest(rows: np.ndarray, probes: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probe, row and cosine of all pairs that may be among the k best of a probe; rows come by id."""
+    with np.errstate(all="ignore"):
+        norms, lengths = np.sqrt(_dots(rows, rows)), np.sqrt(_dots(probes, probes))
+        plain = lambda n: (n == 0) | (n > 1e-100) & (n < 1e100)
+        # not numbers, and what under- or overflows, are scored one by one
+        far, near = np.flatnonzero(~plain(norms)), np.flatnonzero(plain(norms))
+        units = rows[near] / np.where(norms[near] == 0, 1, norms[near])[:, None]
+        out = []
+        for start in range(0, len(probes), step):
+            some = np.arange(start, min(start + step, len(probes)))
+            able = plain(lengths[some])
+            product = np.where(able[:, None], probes[some] / np.where(lengths[some] == 0, 1, lengths[some])[:, None], 0) @ units.T
+            kept = product >= np.partition(product, -k, axis=1)[:, [-k]] - SLACK if len(near) > k else np.ones(product.shape, dtype=bool)
+            kept[~able] = True
+            p, r = np.nonzero(kept)
+            p, r = some[np.concatenate((p, np.repeat(np.arange(len(some)), len(far))))], np.concatenate((near[r], np.tile(far, len(some))))
+            for at in range(0, len(p), 1 << 20):
+                a, b = p[at : at + (1 << 20)], r[at : at + (1 << 20)]
+                both = norms[b] * lengths[a]
+                out.append((a, b, np.where(both == 0, 0.0, _dots(rows[b], probes[a]) / both)))
+        p, r, score = (np.concatenate(x) for x in zip(*out))
+        # of pairs of one score, the first k by id
+        order = np.lexsort((r, score, p))
+        p, r, score = p[order], r[order], score[order]
+        new = np.ones(len(p), dtype=bool)
+        new[1:] = (p[1:] != p[:-1]) | ~((score[1:] == score[:-1]) | np.isnan(score[1:]) & np.isnan(score[:-1]))
+        since = np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+    return p[since < k], r[since < k], score[since < k]
+
+
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", block: int = 4096, chunk: int = 16384) -> DataFrame:
+    """query id, id, score and rank of the k nearest rows to each query by cosine, brute force.
+
+    Each chunk of rows meets each block of queries in a task. Products of unit vectors leave those that may be among the chunk's
+    k best, `SLACK` included; these alone get the cosine itself, as the scalar adds it, and are ranked over all chunks. Nulls,
+    what holds one and unequal lengths score as `cosine` has it: null, or zero where a norm is zero."""
+    spark = vectors.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = vectors.count()
+    chunks = max(1, -(-total // max(1, min(chunk, max(1024, total // (4 * n))))))
+    blocks = max(1, -(-queries.count() // block))
+    deal = lambda df, own, other, many, rest: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(rest - 1)))).repartition(n, "chunk", "block").groupBy("chunk", "block")
+    kind = vectors.schema[id_col].dataType
+    schema = T.StructType([T.StructField("query_id", queries.schema[id_col].dataType), T.StructField(id_col, kind), T.StructField("score", T.DoubleType())])
+
+    def meet(rows: pa.Table, probes: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending")], null_placement="at_start"))
+        (vecs, _), (asked, unknown) = _by_length(rows["vector"]), _by_length(probes["probe"])
+        size = np.full(rows.num_rows, np.nan)
+        with np.errstate(all="ignore"):
+            for at, matrix in vecs.values():
+                size[at] = np.sqrt(_dots(matrix, matrix))
+            found = []
+
+            def add(own: np.ndarray, at: np.ndarray, null: bool) -> None:
+                """The first k rows of `at` for each query, with zero or null."""
+                p, r = np.repeat(own, len(at[:k])), np.tile(at[:k], len(own))
+                found.append((p, r, np.zeros(len(p)), np.full(len(p), null)))
+
+            add(unknown, np.arange(rows.num_rows), True)
+            for n, (own, matrix) in asked.items():
+                at, same = vecs.get(n, (np.zeros(0, dtype=np.int64), None))
+                if same is not None:
+                    p, r, score = _nearest(same, matrix, k)
+                    found.append((own[p], at[r], score, np.zeros(len(p), dtype=bool)))
+                # a product of norms that is zero gives zero, whatever the lengths
+                rest, lengths = np.setdiff1d(np.arange(rows.num_rows), at), np.sqrt(_dots(matrix, matrix))
+                usual = (lengths > 1e-100) & np.isfinite(lengths)
+                for length in [1.0, *np.unique(lengths[~usual]).tolist()]:
+                    some = own[usual] if length == 1.0 else own[~usual & ((lengths == length) | np.isnan(lengths) & np.isnan(length))]
+                    zero = size[rest] * length == 0
+                    add(some, rest[zero], False)
+                    add(some, rest[~zero], True)
+        p, r, score, null = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query_id": probes["id"].take(pa.array(p)), id_col: rows["id"].take(pa.array(r.astype(np.int64))), "score": pa.array(score, mask=null)})
+
+    left = deal(vectors.select(F.col(id_col).alias("id"), F.col("embedding").alias("vector")), "chunk", "block", chunks, blocks)
+    right = deal(queries.select(F.col(id_col).alias("id"), F.col("embedding").alias("probe")), "block", "chunk", blocks, chunks)
+    scored = left.cogroup(right).applyInArrow(meet, schema).withColumn("score", F.round("score", 6))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def near_pairs(vectors: DataFrame, by: str, threshold: float, id_col: str = "vec_id") -> DataFrame:
     """Consecutive rows of a group whose cosine is `threshold` or more."""
     w = Window.partitionBy(by).orderBy(id_col)

@@ -1,8 +1,12 @@
+import random
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recollect.functions import scalar as X
-from recollect.operators import evolve, mutations, patterns, recall
+from recollect.functions.scalar import cosine
+from recollect.operators import evolve, mutations, patterns, recall, search
 from recollect.streaming import sessions
 
 
@@ -66,3 +70,16 @@ def test_together_counts_large_buckets(spark):
     for block in (7, 256):
         got = {(r.a, r.b): r.weight for r in evolve.together(spark.createDataFrame(rows, "u int, item string"), "u", "item", block=block).collect()}
         assert len(got) == 60 * 59 // 2 and got.pop(("i000", "i001")) == 3 and set(got.values()) == {2}
+
+
+def test_knn_join_same_as_pairs(spark):
+    r = random.Random(5)
+    vecs = [[r.choice((-1.0, 0.5, 2.0)) if i % 3 else r.gauss(0, 1) for _ in range(4)] for i in range(300)] + [[0.0] * 4, [1e-30] * 4, [3e38] * 4, [float("nan"), 1.0, 0.0, 0.0], [1.0, None, 0.0, 0.0], None, [1.0], []] + [[1.0, 2.0, 3.0, 4.0]] * 40
+    v = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<float>")
+    pairs = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe")).crossJoin(v).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("probe")), 6).alias("score"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).where("rank <= 7")
+    assert want.count() == 7 * len(vecs)
+    for block, chunk in ((4096, 16384), (50, 90)):
+        found = search.knn_join(v, v, 7, block=block, chunk=chunk)
+        assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoopJoin" not in plan
+        assert {str(tuple(x)) for x in found.select(*want.columns).collect()} == {str(tuple(x)) for x in want.collect()}
