@@ -1,7 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-For every host some pages (`refs`, one of each class of hashed page ids) are parsed whole. Their DOM trees, in which like siblings
-stand as one repeated node, are aligned by simple tree matching: a greatest matching that keeps roots, order and ancestry.
+All pages of a host are parsed whole where they are read. Their DOM trees, in which like siblings stand as one repeated node,
+are aligned by simple tree matching: a greatest matching that keeps roots, order and ancestry. What the pages of a batch show is
+added up by host, batch with batch. Which page stands first for a layout, and whether equal texts of two batches weigh once
+or twice in its sums, depends on the batches.
 Pages that match in less than half are another layout of the host. Nodes that all pages of a layout share are its template; what
 varies below them are slots, and the slots decide:
 
@@ -12,8 +14,7 @@ varies below them are slots, and the slots decide:
   of the region (where more is the same, the pages are copies of one article and not a frame around several). A paragraph or
   heading needs `SURE` pages that agree, as a few articles may share a sentence; loose text does not.
 
-Each page is read against the layout that it matches best. The wrapper is fitted on a bounded number of pages for a host
-and applied to all. Hosts with fewer than `least` distinct pages, and pages that match no layout of their host, have no
+Each page is read against the layout that it matches best. Hosts with fewer than `least` distinct pages, and pages that match no layout of their host, have no
 wrapper: there article and main elements, roles and names decide (`plain_text`).
 
 Defined results: null or empty html gives an empty text; a null url counts as a host of its own; broken markup is read as
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import json
+import pickle
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -271,7 +273,7 @@ def _chain(order: list[int], weight: list[int]) -> list[int]:
     return out[::-1]
 
 
-def matched(a: Page, b: Page) -> set[int]:
+def matched(a: Page | Layout, b: Page | Layout) -> set[int]:
     """Paths in a greatest matching of two trees that keeps roots, order and ancestry (simple tree matching).
 
     Like siblings stand as one node, so a child has one partner at most, and the matching of two lists of children is the
@@ -293,62 +295,107 @@ def matched(a: Page, b: Page) -> set[int]:
     return out
 
 
-def layouts(sources: list[str], alike: float = 0.5) -> list[tuple[list[Page], set[int]]]:
-    """Pages that match each other, with the paths that all of them share. Pages of equal text count once."""
-    pages = list({tuple(b[1] for b in p.blocks): p for p in map(Page, sources)}.values())
-    out: list[tuple[list[Page], set[int]]] = []
-    for page in pages:
-        for k, (own, frame) in enumerate(out):
-            both = matched(own[0], page)
-            if 2 * len(both) >= alike * (len(own[0].tag) + len(page.tag)):
-                own.append(page)
-                out[k] = (own, frame & both)
+class Layout:
+    """What pages that match each other have shown so far; two of them add up, so every page of a host is counted where it is read.
+
+    `tag` and `kids` are the first page's; `fixed` holds the blocks of every page with the sums of their plain, linked and all
+    characters; `texts` the least hashes of page texts, `SURE` at most."""
+
+    __slots__ = ("tag", "kids", "frame", "tags", "parent", "sign", "fixed", "plain", "links", "texts")
+
+    def __init__(self, page: Page):
+        self.tag, self.kids, self.frame = page.tag, page.kids, set(page.tag)
+        self.tags, self.parent, self.sign = dict(page.tag), dict(page.parent), dict(page.sign)
+        self.fixed: dict[tuple[int, str], list[int]] = {}
+        self.plain, self.links = Counter(), Counter()
+        for path, text, linked in page.blocks:
+            one = (len(text) - linked, linked, len(text))
+            self.fixed[path, text] = [x + y for x, y in zip(self.fixed.get((path, text), (0, 0, 0)), one)]
+            self.plain[path] += one[0]
+            self.links[path] += linked
+        self.texts = {xxhash.xxh64_intdigest("\n".join(b[1] for b in page.blocks).encode("utf-8", "surrogatepass"))}
+
+    def __getstate__(self) -> tuple:
+        return tuple(getattr(self, k) for k in self.__slots__)
+
+    def __setstate__(self, found: tuple) -> None:
+        for k, v in zip(self.__slots__, found):
+            setattr(self, k, v)
+
+    def add(self, other: Layout, both: set[int]) -> None:
+        self.frame &= other.frame & both
+        self.tags.update(other.tags)
+        self.parent.update(other.parent)
+        for path, found in other.sign.items():
+            self.sign[path] = min(found, self.sign.get(path, 2))
+        self.fixed = {pair: [x + y for x, y in zip(sums, other.fixed[pair])] for pair, sums in self.fixed.items() if pair in other.fixed}
+        self.plain.update(other.plain)
+        self.links.update(other.links)
+        self.texts = set(sorted(self.texts | other.texts)[:SURE])
+
+
+def gathered(parts: Iterator[Layout], alike: float = 0.5) -> list[Layout]:
+    """Those that match each other added up."""
+    out: list[Layout] = []
+    for part in parts:
+        for own in out:
+            need = alike * (len(own.tag) + len(part.tag))
+            if own.kids == part.kids:
+                own.add(part, set(own.tag))
+                break
+            if 2 * len(own.tag.keys() & part.tag.keys()) >= need and 2 * len(both := matched(own, part)) >= need:
+                own.add(part, both)
                 break
         else:
-            out.append(([page], set(page.tag)))
+            out.append(part)
     return out
 
 
+def read_layouts(sources: list[str]) -> list[Layout]:
+    """Layouts of some pages. Pages of equal text count once."""
+    pages = {tuple(b[1] for b in p.blocks): p for p in map(Page, sources)}
+    return gathered(map(Layout, pages.values()))
+
+
 def induce(sources: list[str], least: int = 3) -> list[dict]:
-    """The layouts of a host with `least` pages or more: frame (paths), region (path), out (paths), known (paths), texts ([path, text])."""
-    return [_layout(pages, frame) for pages, frame in layouts([s for s in sources if s]) if len(pages) >= least]
-
-
-def _layout(pages: list[Page], frame: set[int]) -> dict:
-    met = Counter(pair for p in pages for pair in {(path, text) for path, text, _ in p.blocks})
-    constant = {pair for pair, n in met.items() if n == len(pages) and pair[0] in frame}
-    plain, links, fixed = Counter(), Counter(), Counter()
-    for p in pages:
-        for total, own in ((plain, lambda t, n: len(t) - n), (links, lambda t, n: n)):
-            mine: Counter = Counter()
-            for path, text, linked in p.blocks:
-                if (path, text) not in constant:
-                    mine[path] += own(text, linked)
-            total.update(p.sums(mine))
-        same: Counter = Counter()
-        for path, text, _ in p.blocks:
-            if (path, text) in constant:
-                same[path] += len(text)
-        fixed.update(p.sums(same))
-    first = pages[0]
-    tag, signs = {}, {}
-    for p in pages:
-        tag.update(p.tag)
-        for path, found in p.sign.items():
-            signs[path] = min(found, signs.get(path, 2))
+    """The layouts of a host with `least` pages (`SURE` at most) or more: frame (paths), region (path), out (paths), known (paths), texts ([path, text])."""
+    return fitted(read_layouts([s for s in sources if s]), least)
+
+
+def fitted(found: list[Layout], least: int) -> list[dict]:
+    return [_layout(own) for own in found if len(own.texts) >= least]
+
+
+def _layout(own: Layout) -> dict:
+    frame, tag, signs, parent = own.frame, own.tags, own.sign, own.parent
+    constant = {pair: sums for pair, sums in own.fixed.items() if pair[0] in frame}
+    plain, links, fixed = Counter(own.plain), Counter(own.links), Counter()
+    for (path, _), (a, b, c) in constant.items():
+        plain[path] -= a
+        links[path] -= b
+        fixed[path] += c
+    kids: dict[int, list[int]] = {}
+    for path in tag:
+        if path:
+            kids.setdefault(parent[path], []).append(path)
+    order = [0]
+    for path in order:
+        order += kids.get(path, ())
+    for path in reversed(order):
+        if path:
+            for total in (plain, links, fixed):
+                total[parent[path]] += total[path]
     region = 0
     while True:
-        inner = [k for k in first.kids[region] if k in frame]
+        inner = [k for k in own.kids[region] if k in frame]
         able = [k for k in inner if tag[k] not in PROSE and tag[k] not in LEFT_OUT]
         best = max(able, key=lambda k: plain[k], default=None)
         # a heading beside the text belongs to it
         if best is None or 2 * plain[best] <= plain[region] or any(tag[k] in HEADINGS for k in inner):
             break
         region = best
-    below, parent = {region}, {}
-    for p in pages:
-        parent.update(p.parent)
-    for path in [k for p in pages for k in p.tag]:
+    below = {region}
+    for path in order:
         if path and parent[path] in below:
             below.add(path)
     out = set()
@@ -359,7 +406,7 @@ def _layout(pages: list[Page], frame: set[int]) -> dict:
         elif tag[path] in BLOCK and tag[path] not in PROSE and links[path] > plain[path] and not greater:
             out.add(path)
     whole = plain[region] + links[region] + fixed[region]
-    texts = sorted(pair for pair in constant if pair[0] in below and (len(pages) >= SURE or tag[pair[0]] not in PROSE)) if 4 * fixed[region] < whole else []
+    texts = sorted(pair for pair in constant if pair[0] in below and (len(own.texts) >= SURE or tag[pair[0]] not in PROSE)) if 4 * fixed[region] < whole else []
     return {"frame": sorted(frame), "region": region, "out": sorted(out), "known": sorted(below), "texts": texts}
 
 
@@ -425,18 +472,44 @@ def host(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/?#:]*)", 1)), F.lit("\x00"))
 
 
-def wrappers(pages: DataFrame, refs: int = 12, least: int = 3) -> DataFrame:
-    """host and wrapper (JSON list of layouts) of every host with a layout; `pages` has host, page_id and html."""
-    # the page of least rank in each of `refs` classes: a fold, so each task sends `refs` pages of a host and no more
-    keyed = pages.select("host", F.pmod(F.xxhash64("page_id", F.lit("class")), F.lit(refs)).alias("class"), F.struct(F.xxhash64("page_id").alias("rank"), "page_id", "html").alias("page"))
-    samples = keyed.groupBy("host", "class").agg(F.min("page").alias("page")).select("host", "class", "page.html")
+#: Parts of a host that one task adds up.
+TOGETHER = 16
+
 
-    def fit(key: tuple, rows: pa.Table) -> pa.Table:
-        ordered = sorted(zip(rows["class"].to_pylist(), rows["html"].to_pylist()))
-        found = induce([h for _, h in ordered if h], least)
-        return pa.table({"host": pa.array([key[0].as_py()] if found else [], pa.string()), "wrapper": pa.array([json.dumps(found)] if found else [], pa.string())})
+def wrappers(pages: DataFrame, least: int = 3) -> DataFrame:
+    """host and wrapper (JSON list of layouts) of every host with a layout, fitted on all its pages; `pages` has host and html."""
 
-    return samples.where("html IS NOT NULL").groupBy("host").applyInArrow(fit, "host string, wrapper string")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_host: dict[str, list[str]] = {}
+            for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by_host.setdefault(h, []).append(html)
+            for h, sources in by_host.items():
+                found = read_layouts(sources)
+                part = xxhash.xxh64_intdigest("\n".join(sources).encode("utf-8", "surrogatepass")) >> 1
+                yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([part], pa.int64()), pa.array([pickle.dumps(found)], pa.binary())], ["host", "part", "found"])
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        held = (x for _, found in sorted(zip(rows["part"].to_pylist(), rows["found"].to_pylist())) for x in pickle.loads(found))
+        return pa.table({"host": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int64()), "found": pa.array([pickle.dumps(gathered(held))], pa.binary())})
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(h, json.dumps(w)) for h, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()) if (w := fitted(pickle.loads(found), least))]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.string()) for k in (0, 1)], ["host", "wrapper"])
+
+    schema = "host string, part bigint, found binary"
+    parts = checkpointed(pages.where("html != ''").select("host", "html").mapInArrow(read, schema))
+    most = parts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    # some TOGETHER parts of a host meet in a task, then the sums of these, until one is left
+    groups = 1
+    while groups * TOGETHER < most:
+        groups *= TOGETHER
+    while True:
+        parts = parts.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("host", "part").applyInArrow(add, schema)
+        if groups == 1:
+            return parts.mapInArrow(fit, "host string, wrapper string")
+        groups //= TOGETHER
 
 
 #: Wrappers of up to so many characters in all are broadcast; beyond, pages meet theirs by host.
@@ -455,11 +528,11 @@ def _reader(wrapper: Callable[[str | None, str | None], Wrapper]):
     return run
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", refs: int = 12, least: int = 3, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 3, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """One row per row of `pages`: page_id, url, text."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"))
-    found = checkpointed(wrappers(rows, refs, least))
+    found = checkpointed(wrappers(rows, least))
     if (found.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= broadcast_chars:
         shared = spark.sparkContext.broadcast({r["host"]: r["wrapper"] for r in found.collect()})  # checked just above
         read = _reader(_cached(lambda h, _: shared.value.get(h)))

@@ -238,3 +238,15 @@ def test_replicas_are_never_broadcast(spark):
     assert len(found.collect()) >= 250
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_html_rare_layout_is_learned(spark):
+    # three pages in two hundred are a layout too, whichever pages come first
+    r = random.Random(9)
+    word = lambda k: " ".join(f"{r.choice(EN)}{r.randint(0, 999)}" for _ in range(k))
+    usual = [f"<body><div class='a'><h1>{word(3)}</h1><p>{word(20)}</p></div></body>" for _ in range(200)]
+    texts = [(word(3), word(40)) for _ in range(4)]
+    rare = [f"<body><table><tr><td>Site of all</td></tr></table><section class='b'><h2>{t}</h2><blockquote>{x}</blockquote><span>Print this now</span></section></body>" for t, x in texts]
+    df = spark.createDataFrame([(i, "http://h.example/a", p) for i, p in enumerate(usual + rare)], "page_id long, url string, html string").repartition(40)
+    got = {x.page_id: x.text for x in html_text.pages_text(df).collect()}
+    assert [got[200 + i] for i in range(4)] == [f"{t}\n{x}" for t, x in texts]
