@@ -24,6 +24,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,10 @@ MARK = "▁"
 CACHE, KEPT = 450_000, 2
 SPREAD = 64
 #: Gaps are drawn up to GAPS and then on; FAR is beyond any.
-GAPS, FAR = 256, 1 << 40
+GAPS, GAP_BITS, FAR = 256, 9, 1 << 40
 GOLD = 0x9E3779B97F4A7C15
-#: Units of LONG characters or more, and of lengths that fewer than FEW units a character have, run their agendas one by one: the result is the same.
-LONG, FEW, TOGETHER = 40, 12, 1 << 16
-NEVER = np.int64(1 << 62)
+#: Lengths that fewer than FEW units a character have are run together, if those are enough; units of LONG characters or more run one by one: the result is the same.
+LONG, FEW, TOGETHER = 40, 5, 1 << 16
 #: Characters of text whose new units are segmented together.
 GROUP = 2_000_000
 
@@ -107,6 +107,10 @@ def _mixed(z: np.ndarray) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
+#: Of units: the number of merges after the last skip, and where in an array of little-endian int32 their ids are.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
 class Codec:
     def __init__(self, pieces: list[str], scores: list[float], dropout: float = 0.0, seed: int = 0, tables: dict[str, np.ndarray] | None = None):
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}
@@ -124,9 +128,12 @@ class Codec:
         for _ in range(GAPS):
             chances.append(chances[-1] * (2**32 - self.limit) >> 32)
         self.chances = np.array([min(c, 2**64 - 1) for c in chances[:0:-1]], dtype=np.uint64)
-        # pieces kept by unit, or unit, mark and gaps: the number of merges after the last skip, and ids as little-endian int32
-        self.cache: dict[str, tuple[int, bytes]] = {}
-        self.mark_bytes = np.array([self.byte_ids[b] for b in MARK.encode("utf-8")], dtype="<i4").tobytes()
+        # the rank of each piece with room for a start, in as few bytes as hold it; a symbol that no table has fills up short units
+        places = self.tables["ranks"] * SPREAD
+        self.places = places.astype(np.int32) if places.max(initial=0) + SPREAD < 1 << 31 else places
+        self.never, self.fill = np.iinfo(self.places.dtype).max, int(self.tables["of_char"].max()) + 1
+        self.mark_ids = np.array([self.byte_ids[b] for b in MARK.encode("utf-8")], dtype="<i4")
+        self._forget()
         joiners = "".join(sorted({c for p in self.ids if len(p) > 1 for c in p} - {" "}))
         self.units = re.compile(f" *[{re.escape(joiners)}]+| +|[^ ]" if joiners else " +|[^ ]", re.S).findall
 
@@ -156,7 +163,7 @@ class Codec:
         return self._agenda(unit, self._key(unit, place))[1]
 
     def _agenda(self, unit: str, key: int, skips: int = FAR) -> tuple[int, bytes]:
-        """The agenda of one unit with the first `skips` skips of its key, as a heap: for long units and for those of rare lengths. Returns as `_agendas`."""
+        """The agenda of one unit with the first `skips` skips of its key, as a heap: for long units and for a few. Returns the merges after the last skip, and the ids as little-endian int32."""
         n, rank = len(unit), self.ranks.get
         # a symbol is the span from a start to stop[start]; start_of[end] is the start of the symbol that ends there
         stop, start_of = list(range(1, n + 1)), list(range(-1, n))
@@ -188,63 +195,76 @@ class Codec:
     def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
         slots, values = self.tables["slots"], self.tables["values"]
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = _slot(keys, self.bits)
-        out, rest = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys))
-        while len(rest):
+        out, rest = np.full(len(keys), -1, dtype=np.int32), None
+        while len(keys):
             held = slots[at]
-            hit = held == keys
-            out[rest[hit]] = values[at[hit]]
-            more = ~hit & (held >= 0)
-            rest, keys, at = rest[more], keys[more], (at[more] + 1) & (len(slots) - 1)
+            hit = np.flatnonzero(held == keys)
+            out[hit if rest is None else rest[hit]] = values[at[hit]]
+            more = np.flatnonzero((held >= 0) & (held != keys))
+            rest, keys, at = more if rest is None else rest[more], keys[more], (at[more] + 1) & (len(slots) - 1)
         return out
 
     def _candidates(self, left: np.ndarray, right: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Rank and start of the merges on the agenda; NEVER where there is none."""
+        """Rank and start of the merges on the agenda; the greatest number where there is none."""
         joined = self._joined(left, right)
         found = np.flatnonzero(joined >= 0)
-        out = np.full(len(joined), NEVER, dtype=np.int64)
-        out[found] = self.tables["ranks"][joined[found]] * SPREAD + start[found]
+        out = np.full(len(joined), self.never, dtype=self.places.dtype)
+        out[found] = self.places[joined[found]] + start[found]
         return out
 
     def _together(self, units: list[str], keys: np.ndarray) -> list[bytes]:
-        return [ids for _, ids in self._agendas(units, keys)]
+        """The ids of units of one length, by `_agendas`."""
+        _, at, sizes, ids = self._agendas(units, keys)
+        return [ids[a : a + n].tobytes() for a, n in zip(at.tolist(), sizes.tolist())]
 
-    def _agendas(self, units: list[str], keys: np.ndarray, skips: int = FAR) -> list[tuple[int, bytes]]:
-        """The agendas of units of one length (under SPREAD), a merge of each at a time, with the first `skips` skips that their keys draw.
+    def _agendas(self, units: list[str], keys: np.ndarray, skips: int = FAR) -> Found:
+        """The agendas of units shorter than SPREAD, a merge of each at a time, with the first `skips` skips that their keys draw.
 
-        Columns are units. A merge takes one row off each, so units that go on stay of one length; a skip takes a merge off
-        the agenda and the next best is tried. Returns the merges after the last skip, and the ids as little-endian int32.
+        Columns are units, shorter ones filled up with a symbol that joins none. A merge takes one row off each, so units that
+        go on stay of one length; a skip takes a merge off the agenda and the next best is tried.
         """
-        n, many = len(units[0]), len(units)
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(many, n).T
-        symbol = self.tables["of_char"][points].astype(np.int64)
-        bound = np.repeat(np.arange(n + 1)[:, None], many, axis=1)
-        agenda = np.full((0, many), NEVER) if n < 2 else self._candidates(symbol[:-1].ravel(), symbol[1:].ravel(), bound[:-2].ravel()).reshape(n - 1, many)
+        many, lengths = len(units), np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        n, never, fill = int(lengths.max()), self.never, self.fill
+        points = self.tables["of_char"][np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")]
+        if even := bool((lengths == n).all()):
+            symbol = points.reshape(many, n).T.copy()
+        else:
+            symbol = np.full((many, n), fill, dtype=np.int32)
+            symbol[np.arange(n) < lengths[:, None]] = points
+            symbol = symbol.T.copy()
+        bound = np.repeat(np.arange(n + 1, dtype=np.int8)[:, None], many, axis=1)
+        agenda = np.full((0, many), never) if n < 2 else self._candidates(symbol[:-1].ravel(), symbol[1:].ravel(), bound[:-2].ravel()).reshape(n - 1, many)
         rows = np.arange(many)
         skips = skips if self.limit else 0
         taken, drawn = np.zeros(many, dtype=np.int64), np.zeros(many, dtype=np.int64)
         gap = self._gaps(keys, 0) if skips else np.full(many, FAR)
-        out: list = [None] * many
+        since, at, sizes, out, filled = np.zeros(many, dtype=np.int64), np.zeros(many, dtype=np.int64), np.zeros(many, dtype=np.int64), [], 0
         while len(rows):
-            best = agenda.min(axis=0, initial=NEVER)
-            due = np.flatnonzero((taken == gap) & (best < NEVER)) if skips else rows[:0]
+            best = agenda.min(axis=0, initial=never)
+            due = np.flatnonzero((taken == gap) & (best < never)) if skips else rows[:0]
             while len(due):
-                agenda[(agenda[:, due] == best[due]).argmax(axis=0), due] = NEVER
+                agenda[(agenda[:, due] == best[due]).argmax(axis=0), due] = never
                 best[due] = agenda[:, due].min(axis=0)
                 taken[due] = 0
                 drawn[due] += 1
                 gap[due] = np.where(drawn[due] < skips, self._gaps(keys[due], drawn[due]), FAR)
-                due = due[(gap[due] == 0) & (best[due] < NEVER)]
-            going = best < NEVER
+                due = due[(gap[due] == 0) & (best[due] < never)]
+            going = best < never
             if not going.all():
                 ended = ~going
-                last, edges, which, since = symbol[:, ended].T.astype("<i4", order="C"), bound[:, ended].T, rows[ended].tolist(), taken[ended].tolist()
-                packed, step = last.tobytes(), 4 * last.shape[1]
-                for k, j in enumerate(which):
-                    out[j] = (since[k], packed[k * step : (k + 1) * step])
-                for j in np.flatnonzero((last >= self.size).any(axis=1)).tolist():
-                    out[which[j]] = (since[j], self._spell(units[which[j]], edges[j].tolist()))
+                last, which = symbol[:, ended].T.astype("<i4", order="C"), rows[ended]
+                since[which] = taken[ended]
+                sizes[which] = len(symbol) if even else (last != fill).sum(axis=1)
+                at[which] = filled + np.cumsum(sizes[which]) - sizes[which]
+                out.append(last.ravel() if even else last[last != fill])
+                filled += len(out[-1])
+                odd = np.flatnonzero(((last >= self.size) & (last != fill)).any(axis=1))
+                for j, edges in zip(which[odd].tolist(), bound[:, ended][:, odd].T.tolist()):
+                    out.append(np.frombuffer(self._spell(units[j], edges[: sizes[j] + 1]), "<i4"))
+                    at[j], sizes[j] = filled, len(out[-1])
+                    filled += len(out[-1])
                 symbol, bound, agenda, rows, keys, best = symbol[:, going], bound[:, going], agenda[:, going], rows[going], keys[going], best[going]
                 taken, drawn, gap = taken[going], drawn[going], gap[going]
                 if not len(rows):
@@ -252,96 +272,137 @@ class Codec:
             every = np.arange(len(rows))
             taken += 1
             after = np.logical_or.accumulate(agenda == best, axis=0)
-            at = len(after) - after.sum(axis=0)
-            joined = self._joined(symbol[at, every], symbol[at + 1, every])
+            place = len(after) - after.sum(axis=0)
+            joined = self._joined(symbol[place, every], symbol[place + 1, every])
             symbol = np.where(after, symbol[1:], symbol[:-1])
-            symbol[at, every] = joined
+            symbol[place, every] = joined
             bound = np.concatenate((bound[:1], np.where(after, bound[2:], bound[1:-1])))
             agenda = np.where(after[:-1], agenda[1:], agenda[:-1])
-            for shift, j in ((-1, np.flatnonzero(at > 0)), (0, np.flatnonzero(at < len(agenda)))):
-                c = at[j] + shift
+            for shift, j in ((-1, np.flatnonzero(place > 0)), (0, np.flatnonzero(place < len(agenda)))):
+                c = place[j] + shift
                 agenda[c, j] = self._candidates(symbol[c, j], symbol[c + 1, j], bound[c, j])
-        return out
-
-    def _segmented(self, units: list[str], keys: np.ndarray, skips: int) -> list[tuple[int, bytes]]:
-        """As `_agendas` for units of any lengths, those of one length together."""
-        by_length: dict[int, list[int]] = {}
-        for j, unit in enumerate(units):
-            by_length.setdefault(len(unit), []).append(j)
-        out: list = [None] * len(units)
-        for n, own in by_length.items():
-            if n >= LONG or len(own) < FEW * n:
-                for j in own:
-                    out[j] = self._agenda(units[j], int(keys[j]), skips)
-                continue
-            for start in range(0, len(own), TOGETHER):
-                some = own[start : start + TOGETHER]
-                for j, found in zip(some, self._agendas([units[j] for j in some], keys[some], skips)):
-                    out[j] = found
-        return out
-
-    def _learn(self, names: dict[str, int], units: list[str], keys: np.ndarray, skips: int) -> None:
-        """Put what the cache lacks under `names` there; each is met at a place, with a unit and a key."""
-        places = list(names.values())
-        for name, found in zip(names, self._segmented([units[i] for i in places], keys[places], skips)):
-            self.cache[name] = found
-
-    def _pieces(self, units: list[str], keys: np.ndarray) -> list[bytes]:
-        """The ids of each unit, with the skips that its key draws."""
-        known = self.cache
-        if len(known) > CACHE:
-            known.clear()
-        passing: list[str] = []
-        fresh = {unit: i for i, unit in enumerate(units) if unit not in known}
+        return since, at, sizes, np.concatenate(out)
+
+    def _segmented(self, units: list[str], keys: np.ndarray, skips: int) -> Found:
+        """As `_agendas` for units of any lengths: those of one length together, and those of rare lengths together."""
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        frequent = np.bincount(lengths) >= FEW * np.arange(lengths.max() + 1)
+        frequent[LONG:] = False
+        order = np.argsort(np.where(frequent[lengths], lengths, 0), kind="stable")
+        cuts = np.flatnonzero(np.diff(lengths[order] * frequent[lengths[order]])) + 1
+        since, at, sizes, out, filled = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64), [], 0
+        runs: list[np.ndarray] = []
+        alone: list[int] = []
+        for own in np.split(order, cuts):
+            if not frequent[lengths[own[0]]]:
+                short = own[lengths[own] < LONG]
+                if len(short) < FEW * lengths[short].max(initial=1):
+                    short = short[:0]
+                alone += np.setdiff1d(own, short).tolist()
+                own = short
+            runs += [own[start : start + TOGETHER] for start in range(0, len(own), TOGETHER)]
+        for own in runs:
+            since[own], found, sizes[own], ids = self._agendas([units[j] for j in own.tolist()], keys[own], skips)
+            at[own] = found + filled
+            out.append(ids)
+            filled += len(ids)
+        for j in alone:
+            since[j], packed = self._agenda(units[j], int(keys[j]), skips)
+            out.append(np.frombuffer(packed, "<i4"))
+            at[j], sizes[j] = filled, len(out[-1])
+            filled += len(out[-1])
+        return since, at, sizes, np.concatenate(out)
+
+    def _forget(self) -> None:
+        """Empty the cache. Its nodes are segmentations: a unit's own, and by a node and a gap the one with a skip more. Node 0 is the space mark."""
+        self.roots: dict[str, int] = {MARK: 0}
+        self.skipped: dict[int, int] = {}
+        self.many = self.filled = 0
+        self.since, self.at, self.sizes, self.flat = (np.zeros(1 << 12, dtype=kind) for kind in (np.int32, np.int64, np.int32, "<i4"))
+        self._add(np.zeros(1), np.zeros(1), np.full(1, len(self.mark_ids)), self.mark_ids)
+
+    def _add(self, since: np.ndarray, at: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> int:
+        """New nodes; the number of the first."""
+        first, base = self.many, self.filled
+        self.many, self.filled = first + len(since), base + len(ids)
+        if self.many > len(self.since):
+            self.since, self.at, self.sizes = (np.concatenate((x[:first], np.zeros(self.many, dtype=x.dtype))) for x in (self.since, self.at, self.sizes))
+        if self.filled > len(self.flat):
+            self.flat = np.concatenate((self.flat[:base], np.zeros(self.filled, dtype="<i4")))
+        self.since[first : self.many], self.at[first : self.many], self.sizes[first : self.many], self.flat[base : self.filled] = since, at + base, sizes, ids
+        return first
+
+    def _nodes(self, units: list[str], keys: np.ndarray) -> np.ndarray:
+        """The node of each unit, with the skips that its key draws; those after the number of nodes kept are for this call alone."""
+        if self.many > CACHE:
+            self._forget()
+        nodes = np.fromiter(map(self.roots.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        new = np.flatnonzero(nodes < 0)
+        met = [units[i] for i in new.tolist()]
+        fresh = {unit: i for unit, i in dict(zip(met, new.tolist())).items() if len(unit) < LONG}
+        if fresh:
+            first = self._add(*self._segmented(list(fresh), keys[list(fresh.values())], 0))
+            self.roots.update(zip(fresh, range(first, self.many)))
+            nodes[new] = np.fromiter(map(self.roots.get, met, repeat(-1)), dtype=np.int64, count=len(met))
         # a long unit has too many gaps to be met again with the same ones: every occurrence runs its own agenda
-        long = {unit for unit in fresh if len(unit) >= LONG} if self.limit else set()
-        passing += [unit for unit in fresh if len(unit) >= LONG]
-        self._learn({unit: i for unit, i in fresh.items() if unit not in long}, units, keys, 0)
-        known.update(dict.fromkeys(long, (FAR, b"")))
-        found = [known[unit] for unit in units]
-        out = [ids for _, ids in found]
+        own = np.flatnonzero(nodes < 0)
+        nodes[own] = 0
         if self.limit:
             gaps = self._gaps(keys, 0)
-            open_ = np.flatnonzero(gaps < np.fromiter((n for n, _ in found), dtype=np.int64, count=len(found)))
-            if long:
-                own = [i for i in open_.tolist() if units[i] in long]
-                for i, (_, ids) in zip(own, self._segmented([units[i] for i in own], keys[own], FAR)):
-                    out[i] = ids
-                open_ = np.setdiff1d(open_, own)
-            names, skips = [units[i] + MARK for i in open_.tolist()], 0
-            while len(open_):
-                skips += 1
-                names = [name + chr(gap) for name, gap in zip(names, gaps[open_].tolist())]
-                fresh = {name: i for name, i in zip(names, open_.tolist()) if name not in known}
-                self._learn(fresh, units, keys, skips)
-                if skips > KEPT:
-                    passing += fresh
-                found = [known[name] for name in names]
-                for i, (_, ids) in zip(open_.tolist(), found):
-                    out[i] = ids
+            open_ = np.flatnonzero(gaps < self.since[nodes])
+            for skips in range(1, KEPT + 1):
+                names = nodes[open_] << GAP_BITS | gaps[open_]
+                found = np.fromiter(map(self.skipped.get, names.tolist(), repeat(-1)), dtype=np.int64, count=len(names))
+                new = np.flatnonzero(found < 0)
+                if len(new):
+                    some, where, which = np.unique(names[new], return_index=True, return_inverse=True)
+                    places = open_[new[where]]
+                    first = self._add(*self._segmented([units[i] for i in places.tolist()], keys[places], skips))
+                    self.skipped.update(zip(some.tolist(), range(first, self.many)))
+                    found[new] = first + which
+                nodes[open_] = found
                 gaps[open_] = self._gaps(keys[open_], skips)
-                more = gaps[open_] < np.fromiter((n for n, _ in found), dtype=np.int64, count=len(found))
-                open_, names = open_[more], [name for name, m in zip(names, more.tolist()) if m]
-        for name in passing:
-            del known[name]
-        return out
+                open_ = open_[gaps[open_] < self.since[found]]
+            own = np.concatenate((own, open_))
+        self.kept = self.many, self.filled
+        if len(own):
+            first = self._add(*self._segmented([units[i] for i in own.tolist()], keys[own], FAR))
+            nodes[own] = np.arange(first, self.many)
+        return nodes
+
+    def _spelled_out(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, one after the other, and where each ends."""
+        nodes = self._nodes(units, keys)
+        sizes = self.sizes[nodes].astype(np.int64)
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.at[nodes] - ends + sizes, sizes) + np.arange(ends[-1])]
+        self.many, self.filled = self.kept
+        return ids, ends
+
+    def _pieces(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """The ids of each unit, with the skips that its key draws."""
+        ids, ends = self._spelled_out(units, keys)
+        return [part.tobytes() for part in np.split(ids, ends[:-1])]
 
     def encode_many(self, texts: list[str | None], docs: list) -> list[np.ndarray | None]:
         """The ids of each text; null for null."""
         units: list[str] = []
         keys: list[np.ndarray] = []
-        cut: list[list[int]] = []
+        cut: list[int] = [0]
         for text, doc in zip(texts, docs):
-            # the model's own leading space goes before the text, and only there
-            edges = [len(units)]
+            # the model's own leading space goes before the text, and only there; a space mark has no place among the units
+            marks = []
             for k, part in enumerate(text.split(MARK) if text else []):
+                if k:
+                    marks.append(len(units) - cut[-1] - len(marks))
+                    units.append(MARK)
                 units += self.units(part if k else " " + part)
-                edges.append(len(units))
-            cut.append(edges)
-            keys.append(self._keys(doc, edges[-1] - edges[0]) if self.limit else np.zeros(edges[-1] - edges[0], dtype=np.uint64))
-        pieces = self._pieces(units, np.concatenate(keys)) if units else []
-        packed = (self.mark_bytes.join([b"".join(pieces[a:b]) for a, b in zip(edges, edges[1:])]) for edges in cut)
-        return [None if text is None else np.frombuffer(ids, dtype="<i4") for text, ids in zip(texts, packed)]
+            cut.append(len(units))
+            n = cut[-1] - cut[-2]
+            keys.append(np.insert(self._keys(doc, n - len(marks)), marks, 0) if self.limit else np.zeros(n, dtype=np.uint64))
+        ids, ends = self._spelled_out(units, np.concatenate(keys)) if units else (np.zeros(0, dtype="<i4"), np.zeros(0, dtype=np.int64))
+        edges = np.concatenate(([0], ends))[cut].tolist()
+        return [None if text is None else ids[a:b] for text, a, b in zip(texts, edges, edges[1:])]
 
     def encode(self, text: str, doc: object = 0) -> list[int]:
         return self.encode_many([text or ""], [doc])[0].tolist()

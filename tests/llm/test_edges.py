@@ -162,6 +162,27 @@ def test_agenda_by_plain_python():
     assert codec._pieces(units, keys) == [agenda(u, int(k)) for u, k in zip(units, keys)]
 
 
+def test_rare_lengths_run_together(monkeypatch):
+    """Units of lengths that few have run no agenda each; no unit's ids depend on those it runs with, nor on what is kept."""
+    model, r = tokens.load_pieces(tokens.default_model()), random.Random(3)
+    units = [" " + "".join(r.choice("aeinrstéß日木") for _ in range(n)) for n in range(1, 30) for _ in range(12)]
+    one = tokens.Codec._agenda
+    for dropout, kept in ((0.0, 450_000), (0.3, 450_000), (0.6, 0)):
+        monkeypatch.setattr(tokens, "CACHE", kept)
+        for more in ([], [" " + "international" * 4, "0" * 39, "e" * 40] * 3):
+            codec, alone = tokens.Codec(*model, dropout, 5), []
+            keys = codec._keys(9, len(units + more))
+            want = [codec._agenda(u, int(k))[1] for u, k in zip(units + more, keys)]
+            monkeypatch.setattr(codec, "_agenda", lambda unit, *rest: alone.append(unit) or one(codec, unit, *rest))
+            assert codec._pieces(units + more, keys) == want == codec._pieces(units + more, keys)
+            assert dropout or all(len(unit) >= tokens.LONG for unit in alone)
+    codec = tokens.Codec(*model, 0.3, 5)
+    texts = ["▁ mark ▁▁ " + " ".join(units[:50]), "▁", None, "", "z▁" + "y" * 50, " ".join(units)]
+    many = codec.encode_many(texts, range(len(texts)))
+    assert [None if x is None else x.tolist() for x in many] == [None if t is None else codec.encode(t, k) for k, t in enumerate(texts)]
+    assert [None if x is None else codec.decode(x.tolist()) for x in many] == texts
+
+
 def test_intervals_are_the_maximal_repeats():
     r = random.Random(21)
     for _ in range(40):
