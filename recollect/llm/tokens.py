@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Segmentations that a task keeps (some 150 MB at most), those after KEPT skips or fewer; they end with the task, as idle workers hold memory.
-CACHE, KEPT = 450_000, 2
+#: Segmentations that a task keeps (some 200 MB at most, with what a call needs), those after KEPT skips or fewer; they end with the task, as idle workers hold memory.
+CACHE, KEPT = 700_000, 2
 SPREAD = 64
+#: Characters below NEAR have a table of their pairs.
+NEAR = 256
 #: Gaps are drawn up to GAPS and then on; FAR is beyond any.
 GAPS, GAP_BITS, FAR = 256, 9, 1 << 40
 GOLD = 0x9E3779B97F4A7C15
@@ -93,7 +95,16 @@ def load_tables(pieces: list[str], scores: list[float]) -> dict[str, np.ndarray]
         keys, joins, at = keys[~placed], joins[~placed], (at[~placed] + 1) & ((1 << bits) - 1)
     # equal scores have equal ranks, so that the leftmost goes first
     ranks = np.unique(-np.array(scores), return_inverse=True)[1].astype(np.int64)
-    return {"of_char": of_char, "slots": slots, "values": values, "ranks": ranks}
+    # the piece of a rank, where only one has it, or -1
+    single = np.bincount(ranks, minlength=1) == 1
+    of_rank = np.full(len(single), -1, dtype=np.int32)
+    of_rank[ranks[single[ranks]]] = np.flatnonzero(single[ranks])
+    # pairs of frequent characters by themselves, as few bytes stay near the processor
+    near = np.full(NEAR * NEAR, -1, dtype=np.int32)
+    for p, i in ids.items():
+        if len(p) == 2 and max(map(ord, p)) < NEAR:
+            near[ord(p[0]) * NEAR + ord(p[1])] = i
+    return {"of_char": of_char, "slots": slots, "values": values, "ranks": ranks, "of_rank": of_rank, "near": near}
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -206,9 +217,17 @@ class Codec:
             rest, keys, at = more if rest is None else rest[more], keys[more], (at[more] + 1) & (len(slots) - 1)
         return out
 
-    def _candidates(self, left: np.ndarray, right: np.ndarray, start: np.ndarray) -> np.ndarray:
+    def _first(self, points: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The pieces that neighbouring characters make, or -1, by code points (NEAR and more for none) and symbols."""
+        left, right = points[:-1].ravel(), points[1:].ravel()
+        near = (left | right) < NEAR
+        joined = self.tables["near"][np.where(near, left * NEAR + right, 0)]
+        far = np.flatnonzero(~near)
+        joined[far] = self._joined(symbol[:-1].ravel()[far], symbol[1:].ravel()[far])
+        return joined
+
+    def _candidates(self, joined: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Rank and start of the merges on the agenda; the greatest number where there is none."""
-        joined = self._joined(left, right)
         found = np.flatnonzero(joined >= 0)
         out = np.full(len(joined), self.never, dtype=self.places.dtype)
         out[found] = self.places[joined[found]] + start[found]
@@ -227,15 +246,18 @@ class Codec:
         """
         many, lengths = len(units), np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         n, never, fill = int(lengths.max()), self.never, self.fill
-        points = self.tables["of_char"][np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")]
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<i4")
         if even := bool((lengths == n).all()):
-            symbol = points.reshape(many, n).T.copy()
+            points = points.reshape(many, n).T.copy()
         else:
-            symbol = np.full((many, n), fill, dtype=np.int32)
-            symbol[np.arange(n) < lengths[:, None]] = points
-            symbol = symbol.T.copy()
+            whole = np.full((many, n), len(self.tables["of_char"]) - 1, dtype=np.int32)
+            whole[held := np.arange(n) < lengths[:, None]] = points
+            points = whole.T.copy()
+        symbol = self.tables["of_char"][points]
+        if not even:
+            symbol[~held.T] = fill
         bound = np.repeat(np.arange(n + 1, dtype=np.int8)[:, None], many, axis=1)
-        agenda = np.full((0, many), never) if n < 2 else self._candidates(symbol[:-1].ravel(), symbol[1:].ravel(), bound[:-2].ravel()).reshape(n - 1, many)
+        agenda = np.full((0, many), never) if n < 2 else self._candidates(self._first(points, symbol), bound[:-2].ravel()).reshape(n - 1, many)
         rows = np.arange(many)
         skips = skips if self.limit else 0
         taken, drawn = np.zeros(many, dtype=np.int64), np.zeros(many, dtype=np.int64)
@@ -273,14 +295,16 @@ class Codec:
             taken += 1
             after = np.logical_or.accumulate(agenda == best, axis=0)
             place = len(after) - after.sum(axis=0)
-            joined = self._joined(symbol[place, every], symbol[place + 1, every])
+            joined = self.tables["of_rank"][best // SPREAD]
+            if len(shared := np.flatnonzero(joined < 0)):
+                joined[shared] = self._joined(symbol[place[shared], shared], symbol[place[shared] + 1, shared])
             symbol = np.where(after, symbol[1:], symbol[:-1])
             symbol[place, every] = joined
             bound = np.concatenate((bound[:1], np.where(after, bound[2:], bound[1:-1])))
             agenda = np.where(after[:-1], agenda[1:], agenda[:-1])
             for shift, j in ((-1, np.flatnonzero(place > 0)), (0, np.flatnonzero(place < len(agenda)))):
                 c = place[j] + shift
-                agenda[c, j] = self._candidates(symbol[c, j], symbol[c + 1, j], bound[c, j])
+                agenda[c, j] = self._candidates(self._joined(symbol[c, j], symbol[c + 1, j]), bound[c, j])
         return since, at, sizes, np.concatenate(out)
 
     def _segmented(self, units: list[str], keys: np.ndarray, skips: int) -> Found:
