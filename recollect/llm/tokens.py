@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Segmentations that a task keeps (some 200 MB at most, with what a call needs), those after KEPT skips or fewer; they end with the task, as idle workers hold memory.
-CACHE, KEPT = 700_000, 2
+#: Segmentations that a task keeps (some 150 MB at most, with what a call needs), those after KEPT skips or fewer; they end with the task, as idle workers hold memory.
+CACHE, KEPT = 450_000, 2
 SPREAD = 64
 #: Characters below NEAR have a table of their pairs.
 NEAR = 256
